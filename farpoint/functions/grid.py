@@ -86,6 +86,5 @@ def sure_offsets(dims: int) -> list[tuple[int, ...]]:
 
 def offset_literal(offsets: list[tuple[int, ...]]) -> Column:
     """The offsets as one literal array of structs ``(o0, o1, ...)`` for ``explode``."""
-    return F.array(
-        *[F.struct(*[F.lit(v).cast("bigint").alias(f"o{i}") for i, v in enumerate(o)]) for o in offsets]
-    )
+    rows = (", ".join(f"'o{i}', {v}L" for i, v in enumerate(o)) for o in offsets)
+    return F.expr("array(" + ", ".join(f"named_struct({row})" for row in rows) + ")")

@@ -24,13 +24,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farpoint.functions import blocks, grid, timing
 from farpoint.functions import distance as dist
-from farpoint.functions import grid, timing
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans.tables import largest_keys, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
+WIDE_LOT = 10_000  # rows of either side in one group of the wide comparison
 SLACK = 1e-7  # keeps rounding in v/side from breaking a bound of the grid
 
 
@@ -271,6 +272,39 @@ def _per_window(counts: DataFrame, lay: Layout, sums: list[str], keep: list[str]
     )
 
 
+def _block_sizes(rows: DataFrame, lay: Layout) -> DataFrame:
+    """Rows per join block and stretch of time, an upper bound of its boxes."""
+    return (
+        rows.select(timing.floor_div(F.col("pane"), lay.stretch).alias("stretch"), *lay.block_columns())
+        .groupBy("stretch", *lay.block_key)
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def _wide_counts(q: DataFrame, e: DataFrame, flat: DataFrame, lay: Layout) -> DataFrame:
+    """Neighbour counts in many dimensions: blocks of queries against blocks of points.
+
+    Both sides of every block are dealt to lots of bounded size, so Spark decides where work
+    runs and each task only multiplies out one lot of queries with one lot of points.
+    """
+    keys = ["stretch", *lay.block_key]
+    q, e, keys = spread_hot_keys(
+        q, e, keys, _block_sizes(flat, lay), ["pane", "other"], WIDE_LOT, every_key=True
+    )
+    asked = q.groupBy(*keys).agg(F.count("*").alias("n"))
+    e, q, keys = spread_hot_keys(e, q, keys, asked, ["point_id"], WIDE_LOT, "_lot", every_key=True)
+    met = (
+        q.select("point_id", "us", "wmin", "wmax", "plo", "phi", "coords", *keys)
+        .groupBy(*keys)
+        .cogroup(e.select("pane", "n", "other", *keys).groupBy(*keys))
+        .applyInArrow(blocks.counter(lay.grid.radius), blocks.SCHEMA)
+    )
+    per_pane = met.groupBy("point_id", "pane").agg(
+        F.sum("n").alias("least"), F.sum("n").alias("most"), *[F.min(c).alias(c) for c in ("us", "wmin", "wmax")]
+    )
+    return _per_window(per_pane, lay, ["least", "most"], ["us"])
+
+
 def neighbor_bounds(
     queries: DataFrame, boxes: DataFrame, flat: DataFrame, lay: Layout, match: Column | None = None
 ) -> DataFrame:
@@ -288,23 +322,17 @@ def neighbor_bounds(
         keep = ["us", *lay.xs]
     else:
         e = _keyed_boxes(boxes, lay).withColumnRenamed("coords", "other")
+        if match is None:
+            return _wide_counts(q, e, flat, lay)
         reach = dist.array_distance("coords", "other") <= r
         within = F.lit(True)
         keep = ["us"]
     if lay.dims > len(lay.block_key):
         # the blocks ignore some dimensions, so one block may hold any number of boxes
-        counts = (
-            flat.select(
-                timing.floor_div(F.col("pane"), lay.stretch).alias("stretch"), *lay.block_columns()
-            )
-            .groupBy(*keys)
-            .agg(F.count("*").alias("n"))
-        )
         row = [c for c in e.columns if c not in ("n", *keys)]
-        q, e, keys = spread_hot_keys(q, e, keys, counts, row)
-    met = q.join(e, keys).where(F.col("pane").between(F.col("plo"), F.col("phi")) & reach)
-    if match is not None:
-        met = met.where(match)
+        q, e, keys = spread_hot_keys(q, e, keys, _block_sizes(flat, lay), row)
+    meets = F.col("pane").between(F.col("plo"), F.col("phi"))
+    met = q.join(e, keys).where(meets & reach if match is None else meets & match & reach)
     per_pane = met.groupBy("point_id", "pane").agg(
         F.sum(F.when(within, F.col("n")).otherwise(0)).alias("least"),
         F.sum("n").alias("most"),
@@ -480,6 +508,8 @@ def neighbor_counts(
             "wmax": timing.last_window_of_pane(F.col("pane"), spec),
         }
     ).drop("pane")
+    # each row is about to be copied to all blocks around it: share that out first
+    everyone = everyone.repartition("point_id")
     boxes = written(fold_boxes(flat, lay))
     bounds = neighbor_bounds(everyone, boxes, flat, lay)
     counted = _settled(bounds, boxes, flat, lay, F.col("least") < F.col("most"))

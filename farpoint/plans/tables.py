@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,22 +51,37 @@ def spread_hot_keys(
     keys: list[str],
     counts: DataFrame,
     right_row: list[str],
-    chunk: int = CHUNK_ROWS,
+    chunk: int | None = None,
+    name: str = "_chunk",
+    every_key: bool = False,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Salt an equi-join whose right side has hot keys.
 
     ``counts`` holds the right-side rows ``n`` per key. Right rows of a hot key are dealt to
     chunks by a hash of ``right_row``; left rows of that key are copied to each chunk; all
     other keys stay as they are. Each pair of rows still meets exactly once.
+
+    ``every_key`` also deals the keys too many for the broadcast list, by a plain join, so
+    that no group is larger than about ``chunk`` rows: needed where groups go to memory.
     """
-    hot = F.broadcast(
-        largest_keys(counts, keys, F.col("n") > chunk).select(
-            *keys, F.ceil(F.col("n") / F.lit(chunk)).alias("_parts")
-        )
-    )
-    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("bigint"))
-    right = right.join(hot, keys, "left").withColumn(
-        "_chunk", F.pmod(F.xxhash64(*right_row), parts)
-    )
-    left = left.join(hot, keys, "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return left.drop("_parts"), right.drop("_parts"), [*keys, "_chunk"]
+    chunk = CHUNK_ROWS if chunk is None else chunk
+    large = counts.where(F.col("n") > chunk).select(*keys, "n")
+    hot = F.broadcast(largest_keys(large, keys, F.lit(True)).withColumnRenamed("n", "_hot"))
+    one = F.lit(1).cast("bigint")
+
+    def dealt(side: DataFrame) -> DataFrame:
+        side = side.join(hot, keys, "left")
+        size = F.col("_hot")
+        if every_key:
+            # hot rows are kept out of this join's shuffle by a key that matches nothing
+            other = large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_size"))
+            on = [F.when(F.col("_hot").isNull(), F.col(k)).eqNullSafe(F.col(f"_{k}")) for k in keys[:1]]
+            on = reduce(lambda a, b: a & b, on + [F.col(k) == F.col(f"_{k}") for k in keys[1:]])
+            side = side.join(other, on, "left").drop(*[f"_{k}" for k in keys])
+            size = F.coalesce("_hot", "_size")
+        parts = F.coalesce(F.ceil(size / F.lit(chunk)), one)
+        return side.withColumn("_parts", parts).drop("_hot", "_size")
+
+    right = dealt(right).withColumn(name, F.pmod(F.xxhash64(*right_row), F.col("_parts")))
+    left = dealt(left).withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+    return left.drop("_parts"), right.drop("_parts"), [*keys, name]

@@ -50,7 +50,7 @@ def test_partial_boxes_are_opened(spark, monkeypatch):
     """Many points in few boxes, each cut by many spheres, with hot keys spread to chunks."""
     from farpoint.plans import tables
 
-    monkeypatch.setattr(tables.spread_hot_keys, "__defaults__", (3,))
+    monkeypatch.setattr(tables, "CHUNK_ROWS", 3)
     rng = np.random.default_rng(3)
     ring = rng.normal(0, 1, (700, 3))
     ring = ring / np.linalg.norm(ring, axis=1)[:, None] * rng.normal(4.0, 0.03, (700, 1))
@@ -65,6 +65,18 @@ def test_partial_boxes_are_opened(spark, monkeypatch):
     assert {(0, r.point_id): r.n_neighbors for r in rows} == expected
 
 
+@pytest.mark.parametrize("hot_keys", [2, 1000])
+def test_many_dimensions_in_small_lots(spark, monkeypatch, hot_keys):
+    """All points in few blocks; lots far smaller than the blocks, listed or joined."""
+    from farpoint.plans import exact, tables
+
+    monkeypatch.setattr(exact, "WIDE_LOT", 40)
+    monkeypatch.setattr(tables, "HOT_KEYS", hot_keys)
+    x, us = clustered(51, 500, 12)
+    params = GridParams(20.0, 4, 12)
+    assert found(detect_outliers(to_points(spark, x, us), params, SPEC), SPEC) == outliers(x, us, params, SPEC)
+
+
 def test_counts_per_window(spark):
     x, us = clustered(11, 500, 2)
     params = GridParams(2.0, 5, 2)
