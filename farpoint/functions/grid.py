@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: shift added before the floor, keeps tiny negative noise out of cell -1.
 CELL_SHIFT = 1e-8
+MAX_OFFSETS = 100_000  # offset vectors looked through to list neighbour cells
 
 
 def cell_index(value: Column, side: float) -> Column:
@@ -65,25 +66,12 @@ def neighbor_level(s2: Column, dims: int, strict: bool = False) -> Column:
 def offsets_within(dims: int, limit: int) -> list[tuple[int, ...]]:
     """All integer offset vectors with squared length up to ``limit``."""
     reach = math.isqrt(limit)
+    if (2 * reach + 1) ** dims > MAX_OFFSETS:
+        raise ValueError(f"neighbour cells cannot be listed in {dims} dimensions; use exact detection")
     steps = range(-reach, reach + 1)
     return [o for o in itertools.product(steps, repeat=dims) if sum(i * i for i in o) <= limit]
 
 
-def sure_offsets(dims: int) -> list[tuple[int, ...]]:
-    """Offsets of cells all of whose points are neighbours, by the corner distance.
-
-    The farthest corners of two cells are ``|i|+1`` sides apart in each dimension and the
-    radius is ``2 sqrt(d)`` sides.
-    """
-    reach = math.isqrt(4 * dims)
-    steps = range(-reach, reach + 1)
-    return [
-        o
-        for o in itertools.product(steps, repeat=dims)
-        if sum((abs(i) + 1) ** 2 for i in o) <= 4 * dims
-    ]
-
-
 def offset_literal(offsets: list[tuple[int, ...]]) -> Column:
     """The offsets as one literal array of structs ``(o0, o1, ...)`` for ``explode``."""
     rows = (", ".join(f"'o{i}', {v}L" for i, v in enumerate(o)) for o in offsets)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from farpoint.functions import grid, timing
 from farpoint.operators.prefix import running_sum
 from farpoint.params import GridParams, WindowSpec
-from farpoint.plans.tables import largest_keys, spread_hot_keys
+from farpoint.plans.tables import largest_keys, shuffled, spread_hot_keys
 
 SEGMENTS_PER_WINDOW = 64  # time segments of a trailing count
 SEGMENT_CELLS = 64  # cells per segment of a slab
@@ -71,7 +71,7 @@ def points_of_cells(
     else:
         crowded = largest_keys(sizes, key, F.col("n") >= crowded_from).drop("n")
         placed = placed.join(F.broadcast(crowded), key, "left_anti")
-    return placed.join(asked, key).select("win", "point_id", "cell", *keep)
+    return placed.join(shuffled(asked), key).select("win", "point_id", "cell", *keep)
 
 
 def dense_prune(points: DataFrame, params: GridParams, spec: WindowSpec | None, count_self: bool = False) -> DataFrame:
@@ -130,7 +130,7 @@ def running_counts(points: DataFrame, params: GridParams, window: timedelta) ->
     key = ["cell", "at"]
     sizes = placed.groupBy(*key).agg(F.count("*").alias("n"))
     counts, placed, key = spread_hot_keys(counts.select("cell", "at", "count"), placed, key, sizes, ["point_id"])
-    return placed.join(counts, key).select("point_id", "cell", "count")
+    return placed.join(shuffled(counts), key).select("point_id", "cell", "count")
 
 
 def cell_updates(points: DataFrame, params: GridParams, window: timedelta) -> DataFrame:

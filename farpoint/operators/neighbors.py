@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from farpoint.functions import grid
 from farpoint.operators.cells import cell_counts, points_of_cells, slab_ranked
 from farpoint.params import GridParams, WindowSpec
+from farpoint.plans.tables import shuffled
 
 
 def _shifted(cell: str, offset: Column, dims: int) -> Column:
@@ -37,7 +38,7 @@ def slab_pairs(counts: DataFrame, params: GridParams) -> DataFrame:
         .agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_points"))
     )
     asking = slabs.select("win", "slab", F.explode(F.array(*[F.col("slab") + F.lit(o) for o in (-1, 0, 1)])).alias("other_slab"))
-    return asking.join(slabs.withColumnRenamed("slab", "other_slab"), ["win", "other_slab"]).select(
+    return asking.join(shuffled(slabs.withColumnRenamed("slab", "other_slab")), ["win", "other_slab"]).select(
         "win", "slab", "other_slab", "n_cells", "n_points"
     )
 
@@ -104,7 +105,7 @@ def leveled_pairs(counts: DataFrame, params: GridParams, strict: bool = False) -
         "win", "cell", _shifted("cell", F.col("o"), d).alias("near")
     )
     s2 = grid.squared_offset("cell", "near")
-    return asking.join(counts.select("win", F.col("cell").alias("near")), ["win", "near"]).select(
+    return asking.join(shuffled(counts.select("win", F.col("cell").alias("near"))), ["win", "near"]).select(
         "win", "cell", "near", s2.alias("s2"), grid.neighbor_level(s2, d, strict).alias("level")
     )
 
@@ -131,6 +132,6 @@ def candidate_pairs(counts: DataFrame, params: GridParams) -> DataFrame:
         _shifted("cell", F.col("o"), d).alias("near"),
         grid.neighbor_level(_squared(F.col("o"), d), d).alias("level"),
     )
-    return asking.join(counts.withColumnRenamed("cell", "near"), ["win", "near"]).select(
+    return asking.join(shuffled(counts.withColumnRenamed("cell", "near")), ["win", "near"]).select(
         "win", "cell", "near", "level", "n"
     )

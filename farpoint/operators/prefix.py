@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farpoint.plans.tables import shuffled
+
 
 def running_sum(
     df: DataFrame,
@@ -45,7 +47,7 @@ def running_sum(
     )
     return (
         rows.withColumn("_run", F.sum("_v").over(inside))
-        .join(starts, [*keys, *names])
+        .join(shuffled(starts), [*keys, *names])
         .withColumn(out, F.col("_start") + F.col("_run"))
         .drop("_v", "_run", "_start", *names)
     )

@@ -35,7 +35,7 @@ from farpoint.plans.exact import (
     open_partial_boxes,
     settle_points,
 )
-from farpoint.plans.tables import spread_hot_keys, written
+from farpoint.plans.tables import shuffled, spread_hot_keys, written
 
 COPIES = 64  # copies of a per-window value, so that a join by window has no hot key
 # each window stands for one instant: rows already carry their window number
@@ -89,7 +89,7 @@ def _few_candidates(suspects: DataFrame, groups: DataFrame, model: list[str], k:
     asking = suspects.select(*model, "point_id", "sig", F.posexplode("sig").alias("table", "bucket"))
     each, asking_spread, key = spread_hot_keys(sizes, asking, buckets, sizes, ["point_id"])
     judged = (
-        asking_spread.join(each, key)
+        asking_spread.join(shuffled(each), key)
         .groupBy(*model, "point_id", "sig")
         .agg(F.max("n").alias("largest"), F.sum(F.col("n") - 1).alias("most"))
     )
@@ -104,7 +104,7 @@ def _few_candidates(suspects: DataFrame, groups: DataFrame, model: list[str], k:
     )
     first_meeting = ~(F.when(F.col("table") > 0, earlier).otherwise(False))
     counted = (
-        doubt.join(by_table, buckets)
+        doubt.join(shuffled(by_table), buckets)
         .where(first_meeting)
         .groupBy(*model, "point_id")
         .agg(F.sum("n").alias("met"))
@@ -282,7 +282,7 @@ def detect_lsh_local(
         models = suspects.select("win", "cell", "k").distinct()
         pairs = candidate_pairs(counts, params).drop("n").join(models, ["win", "cell"])
         groups = (
-            pairs.join(folded, ["win", "near"])
+            pairs.join(shuffled(folded), ["win", "near"])
             .select("win", "cell", _cut(F.col("sig"), F.col("k")).alias("sig"), "n")
             .groupBy("win", "cell", "sig")
             .agg(F.sum("n").alias("n"))

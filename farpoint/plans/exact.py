@@ -2,9 +2,9 @@
 
 The answer of a point in a window is settled by the cheapest bound that can settle it:
 
-1. counts of grid cells per pane, summed per window: a *tile* (a cell with a diagonal of
-   one radius) that holds more than ``min_pts`` points clears all of them; cells of half
-   that side in the tiles left are cleared by the sum over the cells surely within reach;
+1. counts of grid cells per pane, summed per window. Up to three dimensions cells have a
+   diagonal of half the radius and are cleared by the sum over the cells they touch; beyond,
+   a cell is a *tile* with a diagonal of one radius and is cleared by its own count;
 2. the points of the other cells meet *boxes*: the points of one small cell in one pane,
    reduced to a count and a bounding box. A box wholly within the radius adds its count to
    the lower bound, one partly within adds to the upper bound only;
@@ -18,6 +18,7 @@ pairs of a crowded cell.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from farpoint.functions import blocks, grid, timing
 from farpoint.functions import distance as dist
 from farpoint.params import GridParams, QueryMode, WindowSpec
-from farpoint.plans.tables import largest_keys, spread_hot_keys, written
+from farpoint.plans.tables import largest_keys, shuffled, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
@@ -80,7 +81,7 @@ class Layout:
 
     @property
     def summed(self) -> bool:
-        """Cells are half a tile wide and their sure neighbours are summed."""
+        """Cells are half a tile wide and are summed with the cells they touch."""
         return self.dims <= SURE_NEIGHBOR_DIMS
 
     @property
@@ -157,60 +158,50 @@ def fold_boxes(flat: DataFrame, lay: Layout, also: tuple[str, ...] = ()) -> Data
     return flat.groupBy("pane", *lay.box_key, *also).agg(*aggs)
 
 
-def _tiles(cells: list[Column], lay: Layout) -> list[Column]:
-    """Tile columns from cell columns; from four dimensions on the cell is the tile."""
-    if not lay.summed:
-        return []
-    return [F.shiftright(c, 1).alias(t) for c, t in zip(cells, lay.tile_key)]
-
-
 def _placed(rows: DataFrame, lay: Layout) -> DataFrame:
-    """Add the cell and tile columns."""
+    """Add the cell and tile columns. Up to three dimensions a tile is 2**d cells."""
     rows = rows.select("*", *lay.cell_columns())
-    return rows.select("*", *_tiles([F.col(c) for c in lay.cell_key], lay))
+    if not lay.summed:
+        return rows
+    return rows.select("*", *[F.shiftright(c, 1).alias(t) for c, t in zip(lay.cell_key, lay.tile_key)])
 
 
 def _in_scope(rows: DataFrame, lay: Layout) -> DataFrame:
     return rows if lay.only is None else rows.where(F.col("win").between(*lay.only))
 
 
+def _near_sums(per_window: DataFrame, lay: Layout) -> DataFrame:
+    """Replace the count of each cell by the sum over itself and all cells it touches, which
+    are surely within the radius.
+
+    Each cell sends its count to the cells around it, partial sums first: one shuffle, no
+    pairs. Cells that only receive are empty and drop out again.
+    """
+    cells = lay.cell_key
+    around = grid.offset_literal(list(itertools.product((-1, 0, 1), repeat=lay.dims)))
+    sent = per_window.select("*", F.explode(around).alias("o"))
+    home = F.lit(True)
+    for i in range(lay.dims):
+        home = home & (F.col("o")[f"o{i}"] == 0)
+    moved = [(F.col(c) + F.col("o")[f"o{i}"]).alias(c) for i, c in enumerate(cells)]
+    return (
+        sent.select("win", *moved, "n", home.alias("home"))
+        .groupBy("win", *cells)
+        .agg(F.sum("n").alias("n"), F.max("home").alias("home"))
+        .where("home")
+    )
+
+
 def _open_cells(boxes: DataFrame, lay: Layout) -> DataFrame:
     """Cells per pane with the range of windows their counts leave open."""
-    k = lay.grid.min_pts
-    cells, tile = lay.cell_key, ["win", *lay.tile_key]
-    windowed = _in_scope(
-        _placed(boxes, lay).select(
-            F.explode(timing.windows_of_pane(F.col("pane"), lay.spec)).alias("win"),
-            *dict.fromkeys(lay.tile_key + cells),
-            "n",
-        ),
-        lay,
+    cells = lay.cell_key
+    windowed = boxes.select("pane", *lay.cell_columns(), "n").select(
+        F.explode(timing.windows_of_pane(F.col("pane"), lay.spec)).alias("win"), *cells, "n"
     )
+    counted = _in_scope(windowed, lay).groupBy("win", *cells).agg(F.sum("n").alias("n"))
     if lay.summed:
-        # cells of a tile travel together, so one shuffle serves the sums of both; a tile
-        # is at most 2**d cells
-        per_tile = Window.partitionBy(*tile)
-        asking = (
-            windowed.repartition(*tile)
-            .groupBy(*tile, *cells)
-            .agg(F.sum("n").alias("n"))
-            .withColumn("in_tile", F.sum("n").over(per_tile))
-            .where(F.col("in_tile") - 1 < k)
-            .select("win", *cells, F.explode(grid.offset_literal(grid.sure_offsets(lay.dims))).alias("o"))
-        )
-        other = [f"near_{c}" for c in cells]
-        asking = asking.select(
-            "win", *cells, *[(F.col(c) + F.col("o")[f"o{i}"]).alias(o) for i, (c, o) in enumerate(zip(cells, other))]
-        )
-        near = (
-            windowed.select("win", *[F.col(c).alias(o) for c, o in zip(cells, other)], "n")
-            .groupBy("win", *other)
-            .agg(F.sum("n").alias("n"))
-        )
-        counted = asking.join(near, ["win", *other]).groupBy("win", *cells).agg(F.sum("n").alias("n"))
-    else:
-        counted = windowed.groupBy("win", *cells).agg(F.sum("n").alias("n"))
-    still_open = counted.where(F.col("n") - 1 < k)
+        counted = _near_sums(counted, lay)
+    still_open = counted.where(F.col("n") - 1 < lay.grid.min_pts)
     return (
         still_open.select(F.explode(timing.panes_of_window(F.col("win"), lay.spec)).alias("pane"), *cells, "win")
         .groupBy("pane", *cells)
@@ -228,9 +219,11 @@ def _suspects(flat: DataFrame, boxes: DataFrame, lay: Layout, mode: QueryMode) -
     found = (
         _placed(flat, lay)
         .join(F.broadcast(crowded), tile, "left_anti")
-        .join(_open_cells(boxes, lay), ["pane", *lay.cell_key])
-        .select("point_id", "us", *dict.fromkeys(lay.xs + lay.box_key), "wmin", "wmax")
+        .join(shuffled(_open_cells(boxes, lay)), ["pane", *lay.cell_key])
+        .select("point_id", "us", *lay.xs, "wmin", "wmax")
     )
+    if lay.gridded:  # cheaper to compute again than to shuffle
+        found = found.select("*", *lay.box_columns())
     asked = timing.mode_windows(F.col("us"), lay.spec, mode)
     if asked is None:
         return found
@@ -332,7 +325,7 @@ def neighbor_bounds(
         row = [c for c in e.columns if c not in ("n", *keys)]
         q, e, keys = spread_hot_keys(q, e, keys, _block_sizes(flat, lay), row)
     meets = F.col("pane").between(F.col("plo"), F.col("phi"))
-    met = q.join(e, keys).where(meets & reach if match is None else meets & match & reach)
+    met = q.join(shuffled(e), keys).where(meets & reach if match is None else meets & match & reach)
     per_pane = met.groupBy("point_id", "pane").agg(
         F.sum(F.when(within, F.col("n")).otherwise(0)).alias("least"),
         F.sum("n").alias("most"),
@@ -358,7 +351,7 @@ def open_partial_boxes(
         spread = spread | (a < b)
     boxes = boxes.where((F.col("n") > 1) & spread)
     q = _keyed_queries(queries, lay).drop(*lay.box_key)
-    part = q.join(_keyed_boxes(boxes, lay), ["stretch", *lay.block_key]).where(
+    part = q.join(shuffled(_keyed_boxes(boxes, lay)), ["stretch", *lay.block_key]).where(
         F.col("pane").between(F.col("plo"), F.col("phi"))
         & (dist.nearest(x, lo, hi) <= r)
         & ~(dist.farthest(x, lo, hi) <= r)
@@ -371,7 +364,7 @@ def open_partial_boxes(
         F.col("point_id").alias("other_id"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(lay.xs)], *key
     )
     part, inner, key = spread_hot_keys(part, inner, key, boxes.select(*key, "n"), ["other_id"])
-    hits = part.join(inner, key).where(dist.distance(x, dist.refs("y", lay.dims)) <= r)
+    hits = part.join(shuffled(inner), key).where(dist.distance(x, dist.refs("y", lay.dims)) <= r)
     per_pane = hits.groupBy("point_id", "pane").agg(
         F.count("*").alias("hits"), F.min("wmin").alias("wmin"), F.min("wmax").alias("wmax")
     )
@@ -399,7 +392,7 @@ def _settled(
     )
     queries = queries.select("*", *lay.box_columns())
     hits = open_partial_boxes(queries, boxes, flat, lay)
-    return bounds.join(hits, ["point_id", "win"], "left").select(
+    return bounds.join(shuffled(hits), ["point_id", "win"], "left").select(
         "point_id", "win", (F.col("least") + F.coalesce("hits", F.lit(0))).alias("within")
     )
 
@@ -484,7 +477,7 @@ def settle_points(
         .groupBy("point_id")
         .agg(F.min("win").alias("wmin"), F.max("win").alias("wmax"))
     )
-    suspects = flat.drop("pane").join(spans, "point_id")
+    suspects = flat.drop("pane").join(shuffled(spans), "point_id")
     return verdict(base, flat, boxes, suspects, lay, mode)
 
 
@@ -543,7 +536,7 @@ def nearest_neighbors(
     )
     asked = asked.select("point_id", win.alias("win"))
     spans = asked.groupBy("point_id").agg(F.min("win").alias("wmin"), F.max("win").alias("wmax"))
-    queries = _keyed_queries(flat.drop("pane").join(spans, "point_id"), lay)
+    queries = _keyed_queries(flat.drop("pane").join(shuffled(spans), "point_id"), lay)
     keys = ["stretch", *lay.block_key]
     if lay.gridded:
         x, lo, hi, y = (dist.refs(p, lay.dims) for p in ("x", "lo", "hi", "y"))
@@ -551,7 +544,7 @@ def nearest_neighbors(
         key = ["pane", *lay.box_key]
         touched = (
             queries.drop(*lay.box_key)
-            .join(_keyed_boxes(boxes, lay), keys)
+            .join(shuffled(_keyed_boxes(boxes, lay)), keys)
             .where(F.col("pane").between(F.col("plo"), F.col("phi")) & (dist.nearest(x, lo, hi) <= r))
             .select("point_id", "wmin", "wmax", *lay.xs, *key)
         )
@@ -568,7 +561,7 @@ def nearest_neighbors(
         sizes = inner.groupBy(*key).agg(F.count("*").alias("n"))
         gap = dist.array_distance("coords", "other")
     touched, inner, key = spread_hot_keys(touched, inner, key, sizes, ["neighbor_id"])
-    met = touched.join(inner, key).withColumn("distance", gap)
+    met = touched.join(shuffled(inner), key).withColumn("distance", gap)
     met = met.where((F.col("distance") <= r) & (F.col("point_id") != F.col("neighbor_id")))
     first = F.greatest("wmin", timing.first_window_of_pane(F.col("pane"), spec))
     last = F.least("wmax", timing.last_window_of_pane(F.col("pane"), spec))
@@ -577,7 +570,7 @@ def nearest_neighbors(
     )
     order = Window.partitionBy("win", "point_id").orderBy("distance", "neighbor_id")
     return (
-        rows.join(asked, ["win", "point_id"], "left_semi")
+        rows.join(shuffled(asked), ["win", "point_id"], "left_semi")
         .withColumn("place", F.row_number().over(order).cast("bigint"))
         .where(F.col("place") <= (params.min_pts if top is None else top))
     )

@@ -39,6 +39,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Side of a join that may be of any size: never broadcast, however well it compresses."""
+    return df.hint("merge")
+
+
 def largest_keys(counts: DataFrame, keys: list[str], above: Column) -> DataFrame:
     """At most ``HOT_KEYS`` keys, the largest first. Any key left out is smaller than
     a thousandth of all rows, so leaving it out costs balance and never rows."""
@@ -77,7 +82,7 @@ def spread_hot_keys(
             other = large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_size"))
             on = [F.when(F.col("_hot").isNull(), F.col(k)).eqNullSafe(F.col(f"_{k}")) for k in keys[:1]]
             on = reduce(lambda a, b: a & b, on + [F.col(k) == F.col(f"_{k}") for k in keys[1:]])
-            side = side.join(other, on, "left").drop(*[f"_{k}" for k in keys])
+            side = side.join(shuffled(other), on, "left").drop(*[f"_{k}" for k in keys])
             size = F.coalesce("_hot", "_size")
         parts = F.coalesce(F.ceil(size / F.lit(chunk)), one)
         return side.withColumn("_parts", parts).drop("_hot", "_size")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farpoint.functions.timing import arrival_us
@@ -94,16 +94,12 @@ def row_index(df: DataFrame, order: list[str]) -> DataFrame:
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
     )
-    sizes = split.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row per partition of the table above: their number is the shuffle setting
-    parts = F.array_sort(F.collect_list(F.struct("_part", "_n")))
-    starts = sizes.agg(parts.alias("all")).select(F.explode("all").alias("p"), "all").select(
-        F.col("p._part").alias("_part"),
-        F.aggregate(
-            F.filter("all", lambda q: q["_part"] < F.col("p._part")),
-            F.lit(0).cast("bigint"),
-            lambda acc, q: acc + q["_n"],
-        ).alias("_start"),
+    # one row per partition of the table above, so a single task may order them
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        split.groupBy("_part")
+        .agg(F.count("*").alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     return (
         split.join(F.broadcast(starts), "_part")

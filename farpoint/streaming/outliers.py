@@ -20,7 +20,8 @@ from farpoint.functions import grid, timing
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans.exact import detect_outliers
 
-POINT_SCHEMA = "point_id bigint, us bigint, coords array<double>, pane bigint"
+PANE_FOLDERS = 1000  # up to so many panes are opened by name
+POINT_SCHEMA = "point_id bigint, us bigint, coords array<double>, pane bigint, batch bigint"
 PROGRESS_SCHEMA = (
     "batch bigint, watermark_us bigint, closed bigint, n_late bigint, n_outliers bigint, seconds double"
 )
@@ -50,13 +51,29 @@ class StreamFolders:
         return f"{self.root}/checkpoint"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _last_progress(spark: SparkSession, folders: StreamFolders, batch: int):
-    """The newest finished batch before this one: a single row."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folders.progress)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    """The one row the batch before this one left behind."""
+    path = f"{folders.progress}/batch-{batch - 1}"
+    if not _exists(spark, path):
         return None
-    rows = spark.read.schema(PROGRESS_SCHEMA).parquet(f"{folders.progress}/*")
-    return rows.where(F.col("batch") < batch).orderBy(F.desc("batch")).first()
+    return spark.read.schema(PROGRESS_SCHEMA).parquet(path).first()
+
+
+def _stored_points(spark: SparkSession, folders: StreamFolders, first: int, last: int) -> DataFrame:
+    """Points of a run of panes. A short run is opened by folder, without listing the table."""
+    paths = [folders.points]
+    if last - first < PANE_FOLDERS:
+        named = (f"{folders.points}/pane={pane}" for pane in range(first, last + 1))
+        paths = [p for p in named if _exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], POINT_SCHEMA)
+    stored = spark.read.schema(POINT_SCHEMA).option("basePath", folders.points).parquet(*paths)
+    return stored.where(F.col("pane").between(first, last))
 
 
 def _on_batch(
@@ -75,7 +92,14 @@ def _on_batch(
             seen, F.max("us").alias("newest"), F.min("us").alias("oldest"), F.count_if(late).alias("late")
         )
         stored = rows.where(~late).withColumn("pane", timing.pane_of(F.col("us"), spec))
-        stored.write.mode("overwrite").partitionBy("pane").parquet(f"{folders.points}/batch={batch}")
+        # a repeated batch overwrites its own folders and no others
+        (
+            stored.withColumn("batch", F.lit(batch))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("pane", "batch")
+            .parquet(folders.points)
+        )
         facts = seen.get
         watermark = last["watermark_us"] if last else None
         if facts["newest"] is not None:
@@ -112,12 +136,8 @@ def _close(
     """Answer the windows that have just ended, from their panes only."""
     first_pane = windows[0] * spec.panes_per_slide
     last_pane = windows[1] * spec.panes_per_slide + spec.panes_per_window - 1
-    panes = (
-        spark.read.schema(POINT_SCHEMA)
-        .option("basePath", folders.points)
-        .parquet(folders.points)
-        .where(F.col("pane").between(first_pane, last_pane))
-        .select("point_id", F.timestamp_micros("us").alias("arrival"), "coords")
+    panes = _stored_points(spark, folders, first_pane, last_pane).select(
+        "point_id", F.timestamp_micros("us").alias("arrival"), "coords"
     )
     found = Observation()
     outliers = detect_outliers(panes, params, spec, mode, only=windows)

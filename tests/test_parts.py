@@ -80,14 +80,18 @@ def test_cells_keep_sign_and_order(spark):
 
 
 @pytest.mark.parametrize("dims", [1, 2, 3])
-def test_sure_offsets_are_sure_and_levels_match_distances(dims):
-    side, radius = 1.0, 2 * math.sqrt(dims)
-    for o in grid.sure_offsets(dims):
-        assert side * math.sqrt(sum((abs(i) + 1) ** 2 for i in o)) <= radius + 1e-12
+def test_levels_bound_the_distances(dims):
+    """With side 1 the radius is 2 sqrt(d): corners of touching cells are within it, and cells
+    beyond level 2 are out of it."""
+    radius = 2 * math.sqrt(dims)
+    assert math.sqrt(dims * 4) <= radius
     for o in grid.offsets_within(dims, 12 * dims):
-        center = math.sqrt(sum(i * i for i in o))
-        if center - radius / 2 > radius + 1e-9:
-            assert sum(i * i for i in o) > 9 * dims
+        s2 = sum(i * i for i in o)
+        center = math.sqrt(s2)
+        if s2 <= dims:
+            assert center + radius / 2 <= radius + 1e-9
+        if s2 > 9 * dims:
+            assert center - radius / 2 > radius - 1e-9
     assert len(grid.offsets_within(2, 18)) == 61
 
 
