@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="farpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -78,10 +77,12 @@ def spread_hot_keys(
         side = side.join(hot, keys, "left")
         size = F.col("_hot")
         if every_key:
-            # hot rows are kept out of this join's shuffle by a key that matches nothing
             other = large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_size"))
-            on = [F.when(F.col("_hot").isNull(), F.col(k)).eqNullSafe(F.col(f"_{k}")) for k in keys[:1]]
-            on = reduce(lambda a, b: a & b, on + [F.col(k) == F.col(f"_{k}") for k in keys[1:]])
+            # listed keys need no second size: a hash of the row takes the place of their
+            # first key, so that this shuffle does not gather them either
+            apart = F.xxhash64(*[c for c in side.columns if c not in keys])
+            first = F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(apart)
+            on = [first == F.col(f"_{keys[0]}")] + [F.col(k) == F.col(f"_{k}") for k in keys[1:]]
             side = side.join(shuffled(other), on, "left").drop(*[f"_{k}" for k in keys])
             size = F.coalesce("_hot", "_size")
         parts = F.coalesce(F.ceil(size / F.lit(chunk)), one)
