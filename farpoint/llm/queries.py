@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import jaccard, langid, licenses, lmscore
+from farpoint.llm import decontaminate, jaccard, langid, licenses, linededup, lmscore, quality
 from farpoint.llm.steps import read_table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    out = decontaminate.decontaminate(docs, benchmark)
+    return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False))
@@ -27,6 +37,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(langid.remainder("doc_id", 7) == 2, F.lit(False))
     docs = read_table(spark, sf_dir, "documents")
@@ -34,8 +49,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_license_scan": op8_license_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_lm_score": op10_lm_score,
 }
