@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import decontaminate, jaccard, langid, licenses, linededup, lmscore, quality
+from farpoint.llm import bpe, decontaminate, jaccard, langid, licenses, linededup, lmscore, quality
 from farpoint.llm.steps import read_table
 
 
@@ -15,6 +15,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """The digests of the ids and of their decoding."""
+    import public_tokenizers
+
+    out = bpe.encode_texts(docs, bpe.BpeParams(str(public_tokenizers.path("word_bpe_49k.json"))))
+    return out.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     out = decontaminate.decontaminate(docs, benchmark)
@@ -50,6 +66,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
