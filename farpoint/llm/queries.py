@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import bpe, decontaminate, jaccard, langid, licenses, linededup, lmscore, quality
+from farpoint.llm import bpe, decontaminate, extract, jaccard, langid, licenses, linededup, lmscore, quality, training_order
 from farpoint.llm.steps import read_table
 
 
@@ -15,6 +15,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the shards it has written."""
+    return training_order.materialise(read_table(spark, sf_dir, "documents"))[0]
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """The digests of the ids and of their decoding."""
     import public_tokenizers
@@ -66,6 +75,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_training_order": op2_training_order,
+    "op3_html_extraction": op3_html_extraction,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
