@@ -94,23 +94,54 @@ def quality_rules(
     """Counts and verdict of every text.
 
     One row per input row: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``,
-    ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``n_left`` (percent of the words in
-    lines that stay) and ``kept``. Null text counts as empty: no words, so it fails. Null hosts
+    ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``kept`` and ``percent_left`` (of the words,
+    in lines that stay). Null text counts as empty: no words, so it fails. Null hosts
     are one host. Repeated rows get the same answer; other columns are ignored.
 
     Lines found in more than ``host_documents`` distinct documents of their host are removed;
     a document with less than ``left_percent`` of its words left is rejected.
     """
     p = params or QualityParams()
-    texts = df.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    texts = _texts(df, text_col, host_col, F.col(id_col).alias("doc_id"))
+    # written: a filter on the answer would be pushed below the counts, and compute them again
+    base = written(base_counts(texts, p).drop("text", "host").withColumn("base_failed", _base_failed(p)))
+    out = base.join(_shares(texts, p), "row", "left")
+    left = F.coalesce("left", F.lit(100)).cast("bigint")
+    kept = ~F.col("base_failed") & (left >= p.left_percent)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        kept.alias("kept"), left.alias("percent_left"),
     )
-    texts = texts.withColumn("row", F.struct(F.xxhash64("text", "host").alias("a"), F.xxhash64(F.lit(1), "host", "text").alias("b")))
-    base = base_counts(texts, p).drop("text", "host")
-    failed = (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.repeat_percent)
-    base = base.withColumn("base_failed", failed)
 
+
+def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", params: QualityParams | None = None) -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps."""
+    p = params or QualityParams()
+    texts = _texts(df, text_col, host_col)
+    failed = written(base_counts(texts, p).select("row", _base_failed(p).alias("failed"))).where("failed").select("row")
+    poor = _shares(texts, p).where(F.col("left") < p.left_percent).select("row")
+    gone = written(failed.unionAll(poor).distinct()).withColumnRenamed("row", "_row")
+    text, host = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, host_col))
+    return df.withColumn("_row", _row_hash(text, host)).join(gone, "_row", "left_anti").drop("_row")
+
+
+def _row_hash(text: Column, host: Column) -> Column:
+    """128 bits that stand for both."""
+    return F.struct(F.xxhash64(text, host).alias("a"), F.xxhash64(F.lit(1), host, text).alias("b"))
+
+
+def _texts(df: DataFrame, text_col: str, host_col: str, *keep: Column) -> DataFrame:
+    """``text``, ``host`` and ``row``, which stands for both."""
+    text, host = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, host_col))
+    return df.select(*keep, text.alias("text"), host.alias("host"), _row_hash(text, host).alias("row"))
+
+
+def _base_failed(p: QualityParams) -> Column:
+    return (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.repeat_percent)
+
+
+def _shares(texts: DataFrame, p: QualityParams) -> DataFrame:
+    """Percent of the words of each text that are ``left`` without its host's frequent lines."""
     lines = written(_lines(texts, p))
     keys = ["host", "line"]
     found = lines.where(F.col("words") >= p.min_line_words).select(*keys, "document").distinct()
@@ -120,11 +151,5 @@ def quality_rules(
     part = marked.groupBy("row").agg(
         F.sum("words").alias("all"), F.sum(F.when(F.col("often"), F.col("words")).otherwise(0)).alias("gone")
     )
-    out = base.join(part, "row", "left")
-    left = F.coalesce(F.floor((F.col("all") - F.col("gone")) * 100 / F.col("all")), F.lit(100)).cast("bigint")
-    out = out.withColumn("n_left", left)
-    kept = ~F.col("base_failed") & (F.col("n_left") >= p.left_percent)
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        kept.alias("kept"), F.col("n_left").alias("percent_left"),
-    )
+    left = F.floor((F.col("all") - F.col("gone")) * 100 / F.col("all"))
+    return part.select("row", left.alias("left"))
