@@ -37,6 +37,7 @@ class JaccardParams:
     verify_cost: float = 8.0  # of one candidate, in posting entries
     bucket_bits: int = 18  # of the table of shingle frequencies
     hub_rounds: int = 4
+    hub_share: int = 25  # percent of its prefix a class shares with a hub it is held against
     pairs_per_row: float = 3.0  # hubs are used until this few cross pairs are left
     chunk: int = 500  # classes of one component and shingle that are listed in one row
 
@@ -195,18 +196,46 @@ def _verified(texts: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def _similar_sizes(p: JaccardParams, x: str, y: str):
-    return (F.col(x) * p.percent <= F.col(y) * 100) & (F.col(y) * p.percent <= F.col(x) * 100)
+def _may_link(p: JaccardParams, n: str, most: str, m: str, other_most: str):
+    """Sizes that may link, given the largest size of a partner of either."""
+    similar = (F.col(n) * p.percent <= F.col(m) * 100) & (F.col(m) * p.percent <= F.col(n) * 100)
+    return similar & (F.col(n) <= F.col(other_most)) & (F.col(m) <= F.col(most))
+
+
+def _useful(rows: DataFrame, p: JaccardParams, turns: int = 2) -> DataFrame:
+    """Prefix rows that can still be part of a link, with ``own`` (shingles of the prefix that
+    no other class holds) and ``most`` (largest set the class can be linked with).
+
+    What nobody shares cannot be part of an overlap, so it bounds the partner's size; a class
+    whose partners under a shingle are all larger is taken from that shingle's list, which may
+    leave other shingles to one class. So lightly edited copies that are too far from each
+    other do not become candidates.
+    """
+    for turn in range(turns):
+        left = rows.groupBy("cls").agg(F.count("*").alias("left"))
+        need = F.ceil(F.col("n") * p.percent / 100)
+        own = F.col("n") - need + F.col("l") - F.col("left")
+        most = F.floor((F.col("n") - own) * (100 + p.percent) / p.percent) - F.col("n")
+        rows = rows.drop("own", "most").join(left, "cls").withColumns({"own": own.cast("int"), "most": most.cast("int")}).drop("left")
+        low = rows.groupBy("token").agg(F.min("n").alias("low"))
+        rows = rows.join(low, "token").where("low <= most").drop("low")
+        shared = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+        rows = written(rows.join(shared.select("token"), "token", "left_semi"))
+    return rows
 
 
 def _best_hubs(rows: DataFrame, seed: int, p: JaccardParams) -> DataFrame:
     """Each class with the hub that shares most of its prefix shingles. The hub of a
-    shingle is the class that comes first in an order drawn by ``seed``."""
-    order = F.struct(F.xxhash64("cls", F.lit(seed)).alias("o"), "cls", "n", "comp")
+    shingle is the class with the smallest share of shingles of its own, the original of its
+    copies as it were; later rounds take any, in an order drawn by ``seed``."""
+    central = F.col("own") / F.col("n") if seed == 0 else F.lit(0.0)
+    order = F.struct(central.alias("c"), F.xxhash64("cls", F.lit(seed)).alias("o"), "cls", "n", "most", "comp")
     hubs = rows.groupBy("token").agg(F.min(order).alias("h"))
-    hubs = hubs.select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
-    met = rows.join(hubs, "token").where((F.col("comp") != F.col("hub_comp")) & _similar_sizes(p, "n", "hub_n"))
-    met = met.groupBy("cls", "hub").count()
+    hubs = hubs.select("token", *[F.col(f"h.{a}").alias(b) for a, b in (("cls", "hub"), ("n", "hub_n"), ("most", "hub_most"), ("comp", "hub_comp"))])
+    met = rows.join(hubs, "token").where((F.col("comp") != F.col("hub_comp")) & _may_link(p, "n", "most", "hub_n", "hub_most"))
+    met = met.groupBy("cls", "hub").agg(F.count("*").alias("count"), F.first("n").alias("n"))
+    # a hub only saves work: pairs that share few of their rare shingles wait for the last step
+    met = met.where(F.col("count") * 100 >= F.col("n") * (100 - p.percent) * p.hub_share / 100)
     best = met.groupBy("cls").agg(F.max(F.struct("count", "hub")).alias("m"))
     return best.select(F.col("cls").alias("a"), F.col("m.hub").alias("b"))
 
@@ -216,13 +245,13 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
     sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
     dealt = rows.join(sizes, "token")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / p.chunk)))
-    lists = dealt.groupBy("token", "comp", "part").agg(F.collect_list(F.struct("cls", "n", "l", "pos")).alias("m"))
+    lists = dealt.groupBy("token", "comp", "part").agg(F.collect_list(F.struct("cls", "n", "l", "pos", "most")).alias("m"))
     right = lists.select("token", F.col("comp").alias("comp_b"), F.col("m").alias("m_b"))
     met = lists.join(right, "token").where("comp < comp_b")
     met = met.select(F.explode("m").alias("x"), "m_b").select("x", F.explode("m_b").alias("y"))
     # what is left behind the shared place bounds the overlap
     bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos")
-    met = met.where(_similar_sizes(p, "x.n", "y.n"))
+    met = met.where(_may_link(p, "x.n", "x.most", "y.n", "y.most"))
     met = met.where(bound * (100 + p.percent) >= (F.col("x.n") + F.col("y.n")) * p.percent)
     met = met.select(
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")
@@ -265,13 +294,15 @@ def jaccard_components(
     rows = _prefixes(texts, frequency, p)
     seen = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
     rows = rows.join(seen.select("token"), "token", "left_semi")
-    rows = written(rows.groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "l", "pos")]).withColumn("comp", F.col("cls")))
+    rows = written(rows.groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "l", "pos")]))
+    rows = _useful(rows, p).withColumn("comp", F.col("cls"))
 
-    links = None
+    links, before = None, float("inf")
     for seed in range(p.hub_rounds):
         n, cross = _cross_count(rows)
-        if cross <= p.pairs_per_row * n:
+        if cross <= p.pairs_per_row * n or cross > 0.9 * before:
             break
+        before = cross
         found = written(_verified(texts, written(_best_hubs(rows, seed, p)), p))
         links = found if links is None else links.unionAll(found)
         rows = _with_components(rows, min_links(links))
