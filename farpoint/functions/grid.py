@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 # Fixed value: shift added before the floor, keeps tiny negative noise out of cell -1.
 CELL_SHIFT = 1e-8
+#: Index of the last cell: beyond it a double is coarser than a cell, all values share one.
+LAST_INDEX = 1 << 50
 MAX_OFFSETS = 100_000  # offset vectors looked through to list neighbour cells
 
 
 def cell_index(value: Column, side: float) -> Column:
-    """Floor index of one coordinate."""
-    return F.floor(value / F.lit(side) + F.lit(CELL_SHIFT))
+    """Floor index of one coordinate, within ``LAST_INDEX``. The points of an outermost cell
+    may be far apart: such a cell must not clear its points."""
+    last = F.lit(float(LAST_INDEX))
+    return F.floor(F.greatest(F.least(value / F.lit(side) + F.lit(CELL_SHIFT), last), -last))
 
 
 def cell_of(coords: str | Column, side: float) -> Column:

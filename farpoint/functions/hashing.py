@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from farpoint.params import LshParams
 
+#: round(ln n) of the largest count there can be, 2**63 - 1.
+MOST_HASHES = 44
+
 
 def projections(lsh: LshParams, dims: int, radius: float) -> list[list[tuple[list[float], float]]]:
     """Per table and hash: normal direction and uniform shift, drawn from the seed."""
@@ -18,7 +21,7 @@ def projections(lsh: LshParams, dims: int, radius: float) -> list[list[tuple[lis
     return [
         [
             ([rng.gauss(0.0, 1.0) for _ in range(dims)], rng.uniform(0.0, width))
-            for _ in range(lsh.hashes or lsh.max_hashes)
+            for _ in range(lsh.hashes or MOST_HASHES)
         ]
         for _ in range(lsh.num_tables)
     ]
@@ -43,8 +46,8 @@ def hash_vector(coords: Column, table: list[tuple[list[float], float]], width: f
 
 
 def hash_count(n: Column, lsh: LshParams) -> Column:
-    """k of a model over ``n`` points: round-half-up of ln n, within 1..max_hashes."""
+    """k of a model over ``n`` points: round-half-up of ln n, at least 1."""
     if lsh.hashes is not None:
         return F.lit(lsh.hashes)
     k = F.round(F.log(n)).cast("int")
-    return F.least(F.greatest(k, F.lit(1)), F.lit(lsh.max_hashes))
+    return F.greatest(k, F.lit(1))

@@ -101,15 +101,14 @@ class LshParams:
     num_tables: int = 1
     hashes: int | None = None
     width: float | None = None  # None: four times the radius
-    max_hashes: int = 32  # projections drawn; k never grows past it
     seed: int = 7
     verify: bool = True  # a candidate counts only if it lies within the radius
 
     def __post_init__(self) -> None:
-        if self.num_tables < 1 or self.max_hashes < 1:
-            raise ValueError("num_tables and max_hashes must be at least 1")
-        if self.hashes is not None and not 1 <= self.hashes <= self.max_hashes:
-            raise ValueError("hashes must lie in 1..max_hashes")
+        if self.num_tables < 1:
+            raise ValueError("num_tables must be at least 1")
+        if self.hashes is not None and self.hashes < 1:
+            raise ValueError("hashes must be at least 1")
         if self.width is not None and not self.width > 0:
             raise ValueError("width must be positive")
 

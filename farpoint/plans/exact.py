@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,8 +110,8 @@ class Layout:
                 timing.floor_div(F.col(f"s{i}"), self.block).alias(f"b{i}")
                 for i in self.grid.join_dims
             ]
-        wide = F.lit(self.grid.radius * (1 + SLACK))
-        return [F.floor(F.col("coords")[i] / wide).alias(f"b{i}") for i in self.grid.join_dims]
+        wide = self.grid.radius * (1 + SLACK)
+        return [grid.cell_index(F.col("coords")[i], wide).alias(f"b{i}") for i in self.grid.join_dims]
 
     def cell_columns(self) -> list[Column]:
         if self.gridded:
@@ -121,6 +121,16 @@ class Layout:
         return [grid.cell_of("coords", self.cell_side).alias("cell")]
 
 
+    def outermost(self, tile: bool = False) -> Column:
+        """A cell (or tile) that values of any size may share."""
+        last = grid.LAST_INDEX
+        if not self.gridded:
+            return F.exists("cell", lambda c: F.abs(c) == last)
+        shift = self.split_bits + (tile and self.summed)
+        ends = [last >> shift, -last >> shift]
+        return reduce(lambda a, b: a | b, [F.col(c).isin(ends) for c in (self.tile_key if tile else self.cell_key)])
+
+
 def finite(dims: int) -> Column:
     """All coordinates are ordinary numbers; others have no distance to anything."""
     if dims <= GRID_DIMS:
@@ -133,9 +143,11 @@ def finite(dims: int) -> Column:
     )
 
 
-def _canonical(points: DataFrame, spec: WindowSpec | None, staged: bool) -> DataFrame:
+def _canonical(points: DataFrame, spec: WindowSpec | None, staged: bool, dims: int) -> DataFrame:
     us = timing.arrival_us(points, "arrival") if spec else F.lit(0).cast("bigint")
-    base = points.select("point_id", us.alias("us"), "coords")
+    wrong = F.raise_error(F.concat(F.lit(f"a point needs {dims} coordinates, found "), F.size("coords")))
+    checked = F.when(F.col("coords").isNull() | (F.size("coords") == dims), F.col("coords")).otherwise(wrong)
+    base = points.select("point_id", us.alias("us"), checked.alias("coords"))
     return written(base) if staged else base
 
 
@@ -199,6 +211,7 @@ def _open_cells(boxes: DataFrame, lay: Layout) -> DataFrame:
         F.explode(timing.windows_of_pane(F.col("pane"), lay.spec)).alias("win"), *cells, "n"
     )
     counted = _in_scope(windowed, lay).groupBy("win", *cells).agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("n", F.when(lay.outermost(), F.lit(-1 << 40)).otherwise(F.col("n")))
     if lay.summed:
         counted = _near_sums(counted, lay)
     still_open = counted.where(F.col("n") - 1 < lay.grid.min_pts)
@@ -214,7 +227,7 @@ def _suspects(flat: DataFrame, boxes: DataFrame, lay: Layout, mode: QueryMode) -
     # a pane's tile that is crowded by itself clears its points in every window; the
     # largest such tiles are dropped by a short broadcast list, before any shuffle
     tile = ["pane", *lay.tile_key]
-    tiles = _placed(boxes, lay).groupBy(*tile).agg(F.sum("n").alias("n"))
+    tiles = _placed(boxes, lay).where(~lay.outermost(tile=True)).groupBy(*tile).agg(F.sum("n").alias("n"))
     crowded = largest_keys(tiles, tile, F.col("n") - 1 >= lay.grid.min_pts).drop("n")
     found = (
         _placed(flat, lay)
@@ -418,7 +431,7 @@ def detect_outliers(
     """
     mode = QueryMode(mode)
     lay = Layout(params, spec, only)
-    base = _canonical(points, spec, staged)
+    base = _canonical(points, spec, staged, params.dims)
     flat = _flat(base, lay)
     boxes = written(fold_boxes(flat, lay))
     return verdict(base, flat, boxes, _suspects(flat, boxes, lay, mode), lay, mode)
@@ -466,7 +479,7 @@ def settle_points(
     (``window_start, point_id``): only those are compared with the data."""
     mode = QueryMode(mode)
     lay = Layout(params, spec)
-    base = _canonical(points, spec, False)
+    base = _canonical(points, spec, False, params.dims)
     flat = _flat(base, lay)
     boxes = written(fold_boxes(flat, lay))
     win = (
@@ -493,7 +506,7 @@ def neighbor_counts(
     by the sphere are opened.
     """
     lay = Layout(params, spec)
-    base = _canonical(points, spec, staged)
+    base = _canonical(points, spec, staged, params.dims)
     flat = _flat(base, lay)
     everyone = flat.withColumns(
         {
@@ -530,7 +543,7 @@ def nearest_neighbors(
     """
     lay = Layout(params, spec)
     r = params.radius
-    flat = _flat(_canonical(points, spec, False), lay)
+    flat = _flat(_canonical(points, spec, False, params.dims), lay)
     win = (
         timing.floor_div(F.unix_micros("window_start"), spec.slide_us) if spec else F.lit(0).cast("bigint")
     )

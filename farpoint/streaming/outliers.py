@@ -116,7 +116,7 @@ def _on_batch(
                 n_outliers = _close(spark, folders, params, spec, mode, (start, newly), batch)
                 closed = newly
             elif closed is None:
-                closed = start - 1
+                closed = newly  # only the watermark closes windows, not the first points seen
         row = (batch, watermark, closed, facts["late"], n_outliers, time.monotonic() - began)
         progress = spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1)
         progress.write.mode("overwrite").parquet(f"{folders.progress}/batch-{batch}")

@@ -66,3 +66,17 @@ def test_stream_counts(spark, tmp_path):
                 key = (int(w * SPEC.slide_us), cell)
                 expected[key] = expected.get(key, 0) + 1
     assert got == expected
+
+
+def test_points_within_the_delay_count_whatever_came_first(spark, tmp_path):
+    x = np.zeros((4, 2)) + np.arange(4)[:, None] * 10
+    us = np.array([200, 170, 110, 900]) * 1_000_000
+    source = _write_in_order(spark, tmp_path, x, us, [[0], [1], [2], [3]])
+    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    root = str(tmp_path / "state")
+    stream_outliers(rows, PARAMS, SPEC, root, delay=timedelta(seconds=300), once=True).awaitTermination()
+    assert sum(r.n_late for r in read_stream_progress(spark, root).collect()) == 0
+    per_point = {}
+    for r in read_stream_outliers(spark, root).collect():
+        per_point[r.point_id] = per_point.get(r.point_id, 0) + 1
+    assert per_point == {0: 2, 1: 2, 2: 2}

@@ -89,8 +89,7 @@ def _exact(points: str, params: GridParams, spec: WindowSpec, where: str = "TRUE
     )
 
 
-def _mode(kind: str) -> str:
-    spec = inp.EVENT_WINDOW
+def _mode(kind: str, spec: WindowSpec = inp.EVENT_WINDOW) -> str:
     w, s = spec.size_us, spec.slide_us
     newest = f"us + {s} >= win * {s} + {w}"
     expiring = f"us < win * {s} + {s}"
@@ -165,13 +164,12 @@ def _hash(direction: list[float], shift: float, width: float) -> str:
     return f"CAST(floor(({dot} + CAST({shift!r} AS DOUBLE)) / CAST({width!r} AS DOUBLE)) AS BIGINT)"
 
 
-def _hashed(params: GridParams, lsh: LshParams, used: int = 12) -> str:
-    """Points per window with their cell and the first hashes of each table; ``used`` is above
-    the k of any model at the scale this SQL runs at."""
+def _hashed(params: GridParams, lsh: LshParams) -> str:
+    """Points per window with their cell and all hashes of each table."""
     width = lsh.width_for(params.radius)
     tables = hashing.projections(lsh, params.dims, params.radius)
     lists = ", ".join(
-        "[" + ", ".join(_hash(a, b, width) for a, b in t[:used]) + f"] AS h{i}" for i, t in enumerate(tables)
+        "[" + ", ".join(_hash(a, b, width) for a, b in t) + f"] AS h{i}" for i, t in enumerate(tables)
     )
     spec = inp.EVENT_WINDOW
     w, s = spec.size_us, spec.slide_us
@@ -281,7 +279,7 @@ def build() -> dict[str, str]:
         "mode_all": all_points,
         "mode_newest": _mode("newest"),
         "mode_expiring": _mode("expiring"),
-        "mode_middle_expiring": _mode("middle"),
+        "mode_middle_expiring": _mode("middle", fine),
         "range_count": (
             f"WITH {_events(3)}, {_windowed(ev)} SELECT {_start(ev, 'a.win')}, a.id AS point_id, count(*) - 1 AS n_neighbors "
             f"FROM w a JOIN w b ON a.win = b.win AND {_near(p3)} <= {p3.radius!r} GROUP BY a.win, a.id"
@@ -291,7 +289,7 @@ def build() -> dict[str, str]:
             "FROM o JOIN w a ON o.win = a.win AND o.id = a.id JOIN w b ON a.win = b.win AND a.id <> b.id "
             f"WHERE {_near(p3)} <= {p3.radius!r}), r AS (SELECT d.*, row_number() OVER (PARTITION BY win, id ORDER BY "
             f"distance, other) AS place FROM d) SELECT {_start(ev)}, id AS point_id, other AS neighbor_id, distance, place "
-            "FROM r WHERE place <= 3"
+            "FROM r WHERE place <= " + str(p3.min_pts)
         ),
         "parse_points": (
             f"WITH l AS (SELECT {line_xs}, l_returnflag = 'R' AS bad FROM lineitem) SELECT CASE WHEN NOT bad THEN x0 END AS x0, "

@@ -216,7 +216,7 @@ def range_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = inp.events(spark, sf_dir, 3)
     found = exact.detect_outliers(points, inp.EVENTS_3D, inp.EVENT_WINDOW, staged=True)
-    near = exact.nearest_neighbors(points, found, inp.EVENTS_3D, inp.EVENT_WINDOW, top=3)
+    near = exact.nearest_neighbors(points, found, inp.EVENTS_3D, inp.EVENT_WINDOW)
     return near.select(_start_ms(inp.EVENT_WINDOW), "point_id", "neighbor_id", "distance", "place")
 
 
@@ -293,7 +293,7 @@ QUERIES: dict[str, Query] = {
     "mode_all": _exact(QueryMode.ALL),
     "mode_newest": _exact(QueryMode.NEWEST),
     "mode_expiring": _exact(QueryMode.EXPIRING),
-    "mode_middle_expiring": _exact(QueryMode.MIDDLE_EXPIRING),
+    "mode_middle_expiring": _exact(QueryMode.MIDDLE_EXPIRING, inp.EVENT_FINE_WINDOW),
     "range_count": range_count,
     "knn_topk": knn_topk,
     "parse_points": parse_points,
