@@ -18,11 +18,12 @@ The order decides only the cost: any order gives the same links. Classes are tol
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpoint.llm.steps import bitmap_of, in_bitmap, min_links, written
@@ -118,7 +119,8 @@ def _frequencies(signatures: DataFrame, p: JaccardParams) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, frequency: np.ndarray, p: JaccardParams) -> DataFrame:
-    """The prefix shingles of every text: shingle, class, its size, its l and the place."""
+    """The prefix shingles of every text: shingle, class, its size, its l and the place; and
+    where the prefix ends in the order of shingles."""
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
 
     def chosen(sets: np.ndarray) -> tuple[np.ndarray, int]:
@@ -143,21 +145,25 @@ def _prefixes(texts: DataFrame, frequency: np.ndarray, p: JaccardParams) -> Data
             for s in slices(b.column(1)):
                 sets, at = _sets(s, p.words)
                 ids = _class_ids(sets, at)
-                heads, n, l, keys = [], [], [], []
+                heads, n, l, keys, ends = [], [], [], [], []
                 for i in np.flatnonzero(np.diff(at)):
                     head, matches = chosen(sets[at[i] : at[i + 1]])
                     heads.append(head)
+                    last = shared.value[int(head[-1] >> np.uint64(64 - p.bucket_bits))]
+                    ends.append((last, int(head[-1]) - (1 << 63), len(head)))
                     keys.append(np.full(len(head), ids[i]))
                     n.append(np.full(len(head), at[i + 1] - at[i], np.int32))
                     l.append(np.full(len(head), matches, np.int32))
                 if heads:
                     yield pa.RecordBatch.from_arrays(
                         [_signed(np.concatenate(heads)), _signed(np.concatenate(keys)), pa.array(np.concatenate(n)), pa.array(np.concatenate(l)),
-                         pa.array(np.concatenate([np.arange(len(h), dtype=np.int32) for h in heads]))],
-                        names=["token", "cls", "n", "l", "pos"],
+                         pa.array(np.concatenate([np.arange(len(h), dtype=np.int32) for h in heads])),
+                         pa.array(np.repeat([e[0] for e in ends], [e[2] for e in ends])),
+                         pa.array(np.repeat(np.array([e[1] for e in ends], np.int64), [e[2] for e in ends]))],
+                        names=["token", "cls", "n", "l", "pos", "end_cost", "end_key"],
                     )
 
-    return texts.mapInArrow(run, "token long, cls long, n int, l int, pos int")
+    return texts.mapInArrow(run, "token long, cls long, n int, l int, pos int, end_cost double, end_key long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame:
@@ -196,29 +202,37 @@ def _verified(texts: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def _may_link(p: JaccardParams, n: str, most: str, m: str, other_most: str):
-    """Sizes that may link, given the largest size of a partner of either."""
-    similar = (F.col(n) * p.percent <= F.col(m) * 100) & (F.col(m) * p.percent <= F.col(n) * 100)
-    return similar & (F.col(n) <= F.col(other_most)) & (F.col(m) <= F.col(most))
+CLASS = ("cls", "n", "l", "pos", "most", "end_cost", "end_key")  # of a prefix row
+
+
+def _may_link(p: JaccardParams, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Sizes that may link. The bound of a class holds against partners whose prefix does not
+    end before its own."""
+    similar = (x("n") * p.percent <= y("n") * 100) & (y("n") * p.percent <= x("n") * 100)
+    end_x, end_y = (F.struct(c("end_cost"), c("end_key")) for c in (x, y))
+    return similar & ((end_x > end_y) | (y("n") <= x("most"))) & ((end_y > end_x) | (x("n") <= y("most")))
 
 
 def _useful(rows: DataFrame, p: JaccardParams, turns: int = 2) -> DataFrame:
     """Prefix rows that can still be part of a link, with ``own`` (shingles of the prefix that
-    no other class holds) and ``most`` (largest set the class can be linked with).
+    are in no other prefix) and ``most`` (the largest set the class can be linked with).
 
-    What nobody shares cannot be part of an overlap, so it bounds the partner's size; a class
-    whose partners under a shingle are all larger is taken from that shingle's list, which may
-    leave other shingles to one class. So lightly edited copies that are too far from each
-    other do not become candidates.
+    If y's prefix does not end before x's, all that x's prefix shares with y is in y's prefix
+    too; so what is in no other prefix is not in y, and bounds the overlap and with it y's
+    size. A class is taken from a shingle's list if this rules out all others of the list,
+    which may leave shingles to one class. So edited copies that are too far from each other
+    do not become candidates.
     """
-    for turn in range(turns):
+    earlier = Window.partitionBy("token").orderBy("end_cost", "end_key").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(turns):
         left = rows.groupBy("cls").agg(F.count("*").alias("left"))
         need = F.ceil(F.col("n") * p.percent / 100)
         own = F.col("n") - need + F.col("l") - F.col("left")
         most = F.floor((F.col("n") - own) * (100 + p.percent) / p.percent) - F.col("n")
         rows = rows.drop("own", "most").join(left, "cls").withColumns({"own": own.cast("int"), "most": most.cast("int")}).drop("left")
         low = rows.groupBy("token").agg(F.min("n").alias("low"))
-        rows = rows.join(low, "token").where("low <= most").drop("low")
+        rows = rows.join(low, "token").withColumn("before", F.max("most").over(earlier))
+        rows = rows.where((F.col("low") <= F.col("most")) | (F.col("before") >= F.col("n"))).drop("low", "before")
         shared = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
         rows = written(rows.join(shared.select("token"), "token", "left_semi"))
     return rows
@@ -229,10 +243,10 @@ def _best_hubs(rows: DataFrame, seed: int, p: JaccardParams) -> DataFrame:
     shingle is the class with the smallest share of shingles of its own, the original of its
     copies as it were; later rounds take any, in an order drawn by ``seed``."""
     central = F.col("own") / F.col("n") if seed == 0 else F.lit(0.0)
-    order = F.struct(central.alias("c"), F.xxhash64("cls", F.lit(seed)).alias("o"), "cls", "n", "most", "comp")
+    order = F.struct(central.alias("c"), F.xxhash64("cls", F.lit(seed)).alias("o"), *CLASS, "comp")
     hubs = rows.groupBy("token").agg(F.min(order).alias("h"))
-    hubs = hubs.select("token", *[F.col(f"h.{a}").alias(b) for a, b in (("cls", "hub"), ("n", "hub_n"), ("most", "hub_most"), ("comp", "hub_comp"))])
-    met = rows.join(hubs, "token").where((F.col("comp") != F.col("hub_comp")) & _may_link(p, "n", "most", "hub_n", "hub_most"))
+    met = rows.join(hubs, "token").where((F.col("comp") != F.col("h.comp")) & _may_link(p, F.col, lambda c: F.col(f"h.{c}")))
+    met = met.withColumn("hub", F.col("h.cls"))
     met = met.groupBy("cls", "hub").agg(F.count("*").alias("count"), F.first("n").alias("n"))
     # a hub only saves work: pairs that share few of their rare shingles wait for the last step
     met = met.where(F.col("count") * 100 >= F.col("n") * (100 - p.percent) * p.hub_share / 100)
@@ -245,13 +259,13 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
     sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
     dealt = rows.join(sizes, "token")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / p.chunk)))
-    lists = dealt.groupBy("token", "comp", "part").agg(F.collect_list(F.struct("cls", "n", "l", "pos", "most")).alias("m"))
+    lists = dealt.groupBy("token", "comp", "part").agg(F.collect_list(F.struct(*CLASS)).alias("m"))
     right = lists.select("token", F.col("comp").alias("comp_b"), F.col("m").alias("m_b"))
     met = lists.join(right, "token").where("comp < comp_b")
     met = met.select(F.explode("m").alias("x"), "m_b").select("x", F.explode("m_b").alias("y"))
     # what is left behind the shared place bounds the overlap
     bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos")
-    met = met.where(_may_link(p, "x.n", "x.most", "y.n", "y.most"))
+    met = met.where(_may_link(p, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     met = met.where(bound * (100 + p.percent) >= (F.col("x.n") + F.col("y.n")) * p.percent)
     met = met.select(
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")
@@ -294,7 +308,7 @@ def jaccard_components(
     rows = _prefixes(texts, frequency, p)
     seen = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
     rows = rows.join(seen.select("token"), "token", "left_semi")
-    rows = written(rows.groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in ("n", "l", "pos")]))
+    rows = written(rows.groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in CLASS if c not in ("cls", "most")]))
     rows = _useful(rows, p).withColumn("comp", F.col("cls"))
 
     links, before = None, float("inf")

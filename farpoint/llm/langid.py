@@ -147,8 +147,8 @@ def predict(df: DataFrame, model: LangModel, text_col: str = "text", keep: list[
                 names=[*b.schema.names[:-1], "lang_pred", "score"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    given = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*given, "lang_pred string", "score double"]))
 
 
 def remainder(id_col: str, modulus: int) -> Column:

@@ -71,8 +71,8 @@ def _lines(texts: DataFrame, p: QualityParams) -> DataFrame:
     """One row per line with enough words: host, the hash of the line (white space folded,
     lower case, digits as one), its words, and an identity of its document.
 
-    The identity is the smallest line hash of the text, so copies, whole or lightly edited,
-    count as one document: text that is copied is not boilerplate.
+    The identity is the smallest hash among the text's other lines, so copies, whole or lightly
+    edited, count as one document: text that is copied is not boilerplate.
     """
     plain = F.regexp_replace(F.lower(F.btrim("text", F.lit(BLANKS))), "[0-9]+", "0")
     df = texts.select("row", "host", F.split(plain, "\n").alias("lines"))
@@ -83,9 +83,12 @@ def _lines(texts: DataFrame, p: QualityParams) -> DataFrame:
         lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words")),
     )
     df = df.select("row", "host", keyed.alias("keyed"))
-    df = df.withColumn("document", F.array_min(F.transform("keyed", lambda x: x["line"])))
-    df = df.select("row", "host", "document", F.explode_outer("keyed").alias("k"))  # no filter that computes it again
-    return df.where("k is not null").select("row", "host", "document", "k.line", "k.words")
+    df = df.withColumn("_order", F.sort_array(F.array_distinct(F.transform("keyed", lambda x: x["line"]))))
+    first, second = F.get("_order", F.lit(0)), F.get("_order", F.lit(1))
+    df = df.select("row", "host", first.alias("first"), F.coalesce(second, first).alias("second"), F.explode_outer("keyed").alias("k"))
+    df = df.where("k is not null").select("row", "host", "first", "second", "k.line", "k.words")  # outer: no filter computes it again
+    document = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return df.select("row", "host", document.alias("document"), "line", "words")
 
 
 def quality_rules(
