@@ -40,7 +40,8 @@ class JaccardParams:
     hub_rounds: int = 4
     hub_share: int = 25  # percent of its prefix a class shares with a hub it is held against
     pairs_per_row: float = 3.0  # hubs are used until this few cross pairs are left
-    chunk: int = 500  # classes of one component and shingle that are listed in one row
+    chunk: int = 500  # classes that are listed in one row
+    listed_alone: int = 8  # components with more classes under a shingle have lists of their own
 
 
 def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,21 +256,39 @@ def _best_hubs(rows: DataFrame, seed: int, p: JaccardParams) -> DataFrame:
 
 
 def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
-    """All candidate pairs of classes in different components that share enough shingles."""
+    """All candidate pairs of classes in different components that share enough shingles.
+
+    Under each shingle a component of some size is listed by itself, so its inner pairs are
+    never looked at; the others share lists. Lists have a bounded length. Only pairs that pass
+    the tests on sizes and places become rows.
+    """
     sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
-    dealt = rows.join(sizes, "token")
+    own = rows.groupBy("token", "comp").agg(F.count("*").alias("own_size"))
+    dealt = rows.join(sizes, "token").join(own, ["token", "comp"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / p.chunk)))
-    lists = dealt.groupBy("token", "comp", "part").agg(F.collect_list(F.struct(*CLASS)).alias("m"))
-    right = lists.select("token", F.col("comp").alias("comp_b"), F.col("m").alias("m_b"))
-    met = lists.join(right, "token").where("comp < comp_b")
-    met = met.select(F.explode("m").alias("x"), "m_b").select("x", F.explode("m_b").alias("y"))
-    # what is left behind the shared place bounds the overlap
-    bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos")
-    met = met.where(_may_link(p, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    met = met.where(bound * (100 + p.percent) >= (F.col("x.n") + F.col("y.n")) * p.percent)
-    met = met.select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")
-    )
+    dealt = dealt.withColumn("alone", F.when(F.col("own_size") > p.listed_alone, F.col("comp")))
+    lists = dealt.groupBy("token", "alone", "part").agg(F.collect_list(F.struct("comp", *CLASS)).alias("m"))
+    lists = lists.withColumn("list", F.struct(F.col("alone").isNull().alias("s"), F.coalesce("alone", F.lit(0)).alias("c"), "part"))
+    right = lists.select("token", F.col("list").alias("list_b"), F.col("alone").alias("alone_b"), F.col("m").alias("m_b"))
+    once = (F.col("list") < F.col("list_b")) | ((F.col("list") == F.col("list_b")) & F.col("alone").isNull())
+    met = lists.join(right, "token").where(once & F.coalesce(F.col("alone") != F.col("alone_b"), F.lit(True)))
+
+    def passes(x: Column, y: Column) -> Column:
+        # what is left behind the shared place bounds the overlap
+        bound = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) + F.least(x["pos"], y["pos"])
+        apart = (x["comp"] != y["comp"]) & (~F.col("same_list") | (x["cls"] < y["cls"]))
+        return apart & _may_link(p, lambda c: x[c], lambda c: y[c]) & (bound * (100 + p.percent) >= (x["n"] + y["n"]) * p.percent)
+
+    def with_partners(x: Column) -> Column:
+        a, b = F.least, F.greatest
+        return F.transform(
+            F.filter("m_b", lambda y: passes(x, y)),
+            lambda y: F.struct(a(x["cls"], y["cls"]).alias("a"), b(x["cls"], y["cls"]).alias("b"), F.least(x["l"], y["l"]).alias("l")),
+        )
+
+    met = met.withColumn("same_list", F.col("list") == F.col("list_b"))
+    met = met.select(F.explode_outer(F.flatten(F.transform("m", with_partners))).alias("pair")).where("pair is not null")
+    met = met.select("pair.*")
     met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("l").alias("l"))
     return met.where("shared >= l").select("a", "b")
 

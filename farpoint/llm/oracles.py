@@ -2,4 +2,28 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
+u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
+k AS (SELECT *, trim({_FOLDED.format('line')}, {_BLANKS}) AS key FROM u),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.*, (o.owner IS NOT NULL AND o.owner <> k.doc_id) AS gone FROM k LEFT JOIN o ON k.key = o.key AND length(k.key) >= 10)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+#: The given pages have their article in one element of that name.
+PAGES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(html_unescape_text, '\s+', ' ', 'g')) AS text FROM (
+  SELECT page_id, url, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS html_unescape_text FROM b))
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
+ORACLES: dict[str, str] = {"op3_html_extraction": PAGES, "op9_line_dedup": LINES}
