@@ -143,11 +143,13 @@ def finite(dims: int) -> Column:
     )
 
 
-def _canonical(points: DataFrame, spec: WindowSpec | None, staged: bool, dims: int) -> DataFrame:
+def _canonical(points: DataFrame, spec: WindowSpec | None, staged: bool, dims: int | None = None) -> DataFrame:
     us = timing.arrival_us(points, "arrival") if spec else F.lit(0).cast("bigint")
-    wrong = F.raise_error(F.concat(F.lit(f"a point needs {dims} coordinates, found "), F.size("coords")))
-    checked = F.when(F.col("coords").isNull() | (F.size("coords") == dims), F.col("coords")).otherwise(wrong)
-    base = points.select("point_id", us.alias("us"), checked.alias("coords"))
+    coords = F.col("coords")
+    if dims is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"a point needs {dims} coordinates, found "), F.size("coords")))
+        coords = F.when(coords.isNull() | (F.size("coords") == dims), coords).otherwise(wrong).alias("coords")
+    base = points.select("point_id", us.alias("us"), coords)
     return written(base) if staged else base
 
 

@@ -26,7 +26,7 @@ def test_presets_and_checks():
     with pytest.raises(ValueError):
         WindowSpec(10, 20)
     with pytest.raises(ValueError):
-        LshParams(hashes=50)
+        LshParams(hashes=0)
 
 
 def test_parse(spark):
