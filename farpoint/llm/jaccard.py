@@ -261,6 +261,10 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
     Under each shingle a component of some size is listed by itself, so its inner pairs are
     never looked at; the others share lists. Lists have a bounded length. Only pairs that pass
     the tests on sizes and places become rows.
+
+    What the prefix that ends first shares with the other set lies in both prefixes, so the
+    shared shingles and the ``rest`` of its set bound the overlap. This is at least as strict as
+    sharing the smaller l, and stricter the nearer the sizes are.
     """
     sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
     own = rows.groupBy("token", "comp").agg(F.count("*").alias("own_size"))
@@ -279,18 +283,23 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
         apart = (x["comp"] != y["comp"]) & (~F.col("same_list") | (x["cls"] < y["cls"]))
         return apart & _may_link(p, lambda c: x[c], lambda c: y[c]) & (bound * (100 + p.percent) >= (x["n"] + y["n"]) * p.percent)
 
+    def rest_of(z: Column) -> Column:
+        return F.ceil(z["n"] * p.percent / 100) - z["l"]
+
     def with_partners(x: Column) -> Column:
-        a, b = F.least, F.greatest
-        return F.transform(
-            F.filter("m_b", lambda y: passes(x, y)),
-            lambda y: F.struct(a(x["cls"], y["cls"]).alias("a"), b(x["cls"], y["cls"]).alias("b"), F.least(x["l"], y["l"]).alias("l")),
-        )
+        def pair(y: Column) -> Column:
+            end_x, end_y = (F.struct(z["end_cost"], z["end_key"]) for z in (x, y))
+            rest = F.when(end_x <= end_y, rest_of(x)).otherwise(rest_of(y))
+            a, b = F.least(x["cls"], y["cls"]), F.greatest(x["cls"], y["cls"])
+            return F.struct(a.alias("a"), b.alias("b"), rest.alias("rest"), (x["n"] + y["n"]).alias("both"))
+
+        return F.transform(F.filter("m_b", lambda y: passes(x, y)), pair)
 
     met = met.withColumn("same_list", F.col("list") == F.col("list_b"))
     met = met.select(F.explode_outer(F.flatten(F.transform("m", with_partners))).alias("pair")).where("pair is not null")
     met = met.select("pair.*")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("l").alias("l"))
-    return met.where("shared >= l").select("a", "b")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.min("both").alias("both"))
+    return met.where((F.col("shared") + F.col("rest")) * (100 + p.percent) >= F.col("both") * p.percent).select("a", "b")
 
 
 def _with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
