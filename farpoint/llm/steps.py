@@ -67,6 +67,8 @@ def min_links(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) ->
         if found.n == 0 or (found == state and found.n == found.d):
             break
         state = found
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return roots.unionAll(own.join(roots, "node", "left_anti"))
