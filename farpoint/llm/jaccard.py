@@ -41,6 +41,7 @@ class JaccardParams:
     hub_share: int = 25  # percent of its prefix a class shares with a hub it is held against
     pairs_per_row: float = 3.0  # hubs are used until this few cross pairs are left
     chunk: int = 500  # classes that are listed in one row
+    broadcast_roots: int = 500_000  # linked classes whose components are broadcast at most; more are joined by shuffle
     listed_alone: int = 8  # components with more classes under a shingle have lists of their own
 
 
@@ -224,15 +225,16 @@ def _useful(rows: DataFrame, p: JaccardParams, turns: int = 2) -> DataFrame:
     which may leave shingles to one class. So edited copies that are too far from each other
     do not become candidates.
     """
-    earlier = Window.partitionBy("token").orderBy("end_cost", "end_key").rowsBetween(Window.unboundedPreceding, -1)
+    by_token = Window.partitionBy("token")
+    earlier = by_token.orderBy("end_cost", "end_key").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(turns):
-        left = rows.groupBy("cls").agg(F.count("*").alias("left"))
+        # windows: each turn shuffles the rows twice and no second table of their size
+        rows = rows.drop("own", "most").withColumn("left", F.count("*").over(Window.partitionBy("cls")))
         need = F.ceil(F.col("n") * p.percent / 100)
         own = F.col("n") - need + F.col("l") - F.col("left")
         most = F.floor((F.col("n") - own) * (100 + p.percent) / p.percent) - F.col("n")
-        rows = rows.drop("own", "most").join(left, "cls").withColumns({"own": own.cast("int"), "most": most.cast("int")}).drop("left")
-        low = rows.groupBy("token").agg(F.min("n").alias("low"))
-        rows = rows.join(low, "token").withColumn("before", F.max("most").over(earlier))
+        rows = rows.withColumn("own", own.cast("int")).withColumn("most", most.cast("int")).drop("left")
+        rows = rows.withColumn("low", F.min("n").over(by_token)).withColumn("before", F.max("most").over(earlier))
         rows = rows.where((F.col("low") <= F.col("most")) | (F.col("before") >= F.col("n"))).drop("low", "before")
         shared = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
         rows = written(rows.join(shared.select("token"), "token", "left_semi"))
@@ -302,12 +304,15 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
     return met.where((F.col("shared") + F.col("rest")) * (100 + p.percent) >= F.col("both") * p.percent).select("a", "b")
 
 
-def _with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _with_components(rows: DataFrame, roots: DataFrame, p: JaccardParams) -> DataFrame:
     """Prefix rows under their component; shingles seen in one component only are dropped."""
-    roots = roots.select(F.col("node").alias("cls"), "root")
+    roots = written(roots.select(F.col("node").alias("cls"), "root"))
+    if roots.count() <= p.broadcast_roots:
+        roots = F.broadcast(roots)
     rows = rows.drop("comp").join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    alive = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return written(rows.join(alive.select("token"), "token", "left_semi"))
+    by_token = Window.partitionBy("token")
+    alive = F.min("comp").over(by_token) < F.max("comp").over(by_token)
+    return written(rows.withColumn("alive", alive).where("alive").drop("alive"))
 
 
 def _cross_count(rows: DataFrame) -> tuple[int, float]:
@@ -347,7 +352,7 @@ def jaccard_components(
         before = cross
         found = written(_verified(texts, written(_best_hubs(rows, seed, p)), p))
         links = found if links is None else links.unionAll(found)
-        rows = _with_components(rows, min_links(links))
+        rows = _with_components(rows, min_links(links), p)
     found = written(_verified(texts, written(_cross_pairs(rows, p)), p))
     roots = min_links(found if links is None else links.unionAll(found))
 
