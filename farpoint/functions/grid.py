@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 CELL_SHIFT = 1e-8
 #: Index of the last cell: beyond it a double is coarser than a cell, all values share one.
 LAST_INDEX = 1 << 50
-MAX_OFFSETS = 100_000  # offset vectors looked through to list neighbour cells
+MAX_OFFSETS = 2_000  # beyond so many offset vectors, occupied cells are joined instead of listed ones
 
 
 def cell_index(value: Column, side: float) -> Column:
@@ -67,11 +67,14 @@ def neighbor_level(s2: Column, dims: int, strict: bool = False) -> Column:
     return F.when(s2 <= dims, 1).when(s2 <= 9 * dims, 2).otherwise(0)
 
 
+def few_offsets(dims: int, limit: int) -> bool:
+    """Whether listing the offsets is shorter than a join of the occupied cells."""
+    return (2 * math.isqrt(limit) + 1) ** dims <= MAX_OFFSETS
+
+
 def offsets_within(dims: int, limit: int) -> list[tuple[int, ...]]:
     """All integer offset vectors with squared length up to ``limit``."""
     reach = math.isqrt(limit)
-    if (2 * reach + 1) ** dims > MAX_OFFSETS:
-        raise ValueError(f"neighbour cells cannot be listed in {dims} dimensions; use exact detection")
     steps = range(-reach, reach + 1)
     return [o for o in itertools.product(steps, repeat=dims) if sum(i * i for i in o) <= limit]
 

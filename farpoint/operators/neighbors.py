@@ -1,14 +1,17 @@
-"""Sums over neighbouring cells, by explosion of offsets and equality of cells."""
+"""Sums over neighbouring cells: offsets are listed where they are few, as in two or three
+dimensions; otherwise occupied cells are joined by block. Both give the same pairs."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.functions import grid
+from farpoint.functions import grid, timing
 from farpoint.operators.cells import cell_counts, points_of_cells, slab_ranked
 from farpoint.params import GridParams, WindowSpec
-from farpoint.plans.tables import shuffled
+from farpoint.plans.tables import shuffled, spread_hot_keys
 
 
 def _shifted(cell: str, offset: Column, dims: int) -> Column:
@@ -27,6 +30,29 @@ def _bound(params: GridParams, level: int, strict: bool) -> int:
     return limit - 1 if strict else limit
 
 
+def _joined_cells(asking: DataFrame, counts: DataFrame, params: GridParams, limit: int) -> DataFrame:
+    """Asked cells with the occupied cells up to ``limit`` (squared) around them, in any number
+    of dimensions: ``(win, cell, near, n, s2)``.
+
+    Blocks are longer than the reach in up to three dimensions, so a cell meets the blocks
+    beside its own and nothing further; crowded blocks are dealt to several tasks.
+    """
+    dims, side = params.join_dims, math.isqrt(limit) + 1
+    blocks = [f"b{i}" for i in dims]
+
+    def blocked(column: str) -> list[Column]:
+        return [timing.floor_div(F.col(column)[i], side).alias(b) for i, b in zip(dims, blocks)]
+
+    left = asking.select("win", "cell", *blocked("cell"))
+    for b in blocks:
+        left = left.withColumn(b, F.explode(F.array(F.col(b) - 1, F.col(b), F.col(b) + 1)))
+    right = counts.select("win", F.col("cell").alias("near"), "n", *blocked("cell"))
+    sizes = right.groupBy("win", *blocks).agg(F.count("*").alias("n"))
+    left, right, key = spread_hot_keys(left, right, ["win", *blocks], sizes, ["near"], every_key=True)
+    met = left.join(shuffled(right), key)
+    return met.select("win", "cell", "near", "n", grid.squared_offset("cell", "near").alias("s2")).where(F.col("s2") <= limit)
+
+
 def slab_pairs(counts: DataFrame, params: GridParams) -> DataFrame:
     """Slabs along the sort dimension joined with the same and the two next slabs:
     ``(win, slab, other_slab, n_cells, n_points)``, what a search of that slab meets.
@@ -48,19 +74,22 @@ def neighbor_sums(counts: DataFrame, params: GridParams, level: int = 1, strict:
 
     Each cell sends its count to the cells in reach, partial sums first: one shuffle, and a
     populous cell is a single row. Level-1 sums include the cell itself; level-2 sums include
-    level 1. The number of offsets grows fast with the dimensions: 61 at level 2 for d = 2.
+    level 1. The number of offsets grows fast with the dimensions: 61 at level 2 for d = 2. Where
+    they are many, the occupied cells around each cell are found by a join.
     """
-    d = params.dims
-    reach = grid.offsets_within(d, _bound(params, level, strict))
-    sent = counts.select("win", "cell", "n", F.explode(grid.offset_literal(reach)).alias("o"))
-    s2 = _squared(F.col("o"), d)
+    d, limit = params.dims, _bound(params, level, strict)
     sums = [F.sum(F.when(F.col("s2") <= _bound(params, 1, strict), F.col("n")).otherwise(0)).alias("level1_count")]
     if level == 2:
         ring = F.col("s2") != d if strict else F.lit(True)  # a strict bound leaves s2 = d out
         sums.append(F.sum(F.when(ring, F.col("n")).otherwise(0)).alias("level2_count"))
+    if grid.few_offsets(d, limit):
+        reach = grid.offset_literal(grid.offsets_within(d, limit))
+        sent = counts.select("win", "cell", "n", F.explode(reach).alias("o"))
+        sent = sent.select("win", _shifted("cell", F.col("o"), d).alias("cell"), "n", _squared(F.col("o"), d).alias("s2"))
+    else:
+        sent = _joined_cells(counts, counts, params, limit)
     return (
-        sent.select("win", _shifted("cell", F.col("o"), d).alias("cell"), "n", s2.alias("s2"))
-        .groupBy("win", "cell")
+        sent.groupBy("win", "cell")
         .agg(F.sum(F.when(F.col("s2") == 0, F.col("n"))).alias("n"), *sums)
         .where(F.col("n").isNotNull())
     )
@@ -100,6 +129,9 @@ def leveled_pairs(counts: DataFrame, params: GridParams, strict: bool = False) -
     """Occupied cells with the occupied cells around them and the neighbourhood level of the
     pair: ``(win, cell, near, s2, level)``. The ring just out of reach is shown as level 0."""
     d = params.dims
+    if not grid.few_offsets(d, 10 * d):
+        pairs = _joined_cells(counts, counts, params, 10 * d)
+        return pairs.select("win", "cell", "near", "s2", grid.neighbor_level(F.col("s2"), d, strict).alias("level"))
     around = grid.offset_literal(grid.offsets_within(d, 10 * d))
     asking = counts.select("win", "cell", F.explode(around).alias("o")).select(
         "win", "cell", _shifted("cell", F.col("o"), d).alias("near")
@@ -120,13 +152,14 @@ def unresolved_cells(counts: DataFrame, params: GridParams) -> DataFrame:
 
 def candidate_pairs(counts: DataFrame, params: GridParams) -> DataFrame:
     """Unresolved cells with the cells whose points may be neighbours:
-    ``(win, cell, near, level, n)``. Pairs are of cells, at most one per offset."""
+    ``(win, cell, near, level, n)``. Pairs are of occupied cells."""
     d = params.dims
-    reach = grid.offsets_within(d, 9 * d)
-    asking = unresolved_cells(counts, params).select(
-        "win", "cell", F.explode(grid.offset_literal(reach)).alias("o")
-    )
-    asking = asking.select(
+    asking = unresolved_cells(counts, params)
+    if not grid.few_offsets(d, 9 * d):
+        pairs = _joined_cells(asking, counts, params, 9 * d)
+        return pairs.select("win", "cell", "near", grid.neighbor_level(F.col("s2"), d).alias("level"), "n")
+    reach = grid.offset_literal(grid.offsets_within(d, 9 * d))
+    asking = asking.select("win", "cell", F.explode(reach).alias("o")).select(
         "win",
         "cell",
         _shifted("cell", F.col("o"), d).alias("near"),

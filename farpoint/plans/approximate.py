@@ -37,7 +37,6 @@ from farpoint.plans.exact import (
 )
 from farpoint.plans.tables import shuffled, spread_hot_keys, written
 
-COPIES = 64  # copies of a per-window value, so that a join by window has no hot key
 # each window stands for one instant: rows already carry their window number
 PER_WINDOW = WindowSpec(timedelta(microseconds=1), timedelta(microseconds=1))
 
@@ -59,10 +58,10 @@ def _with_k(rows: DataFrame, models: DataFrame, lsh: LshParams) -> DataFrame:
     """Add k of the row's window. ``models`` has the model size ``n`` per window."""
     if lsh.hashes is not None:
         return rows.withColumn("k", F.lit(lsh.hashes))
-    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPIES - 1).cast("bigint"))).alias("_copy")
-    ks = models.select("win", hashing.hash_count(F.col("n"), lsh).alias("k"), copy)
-    spread = rows.withColumn("_copy", F.pmod(F.xxhash64("point_id"), F.lit(COPIES)))
-    return spread.join(ks, ["win", "_copy"]).drop("_copy")
+    # a model holds all rows that ask it, so its size says how many copies of its k are needed
+    ks = models.select("win", hashing.hash_count(F.col("n"), lsh).alias("k"))
+    ks, rows, key = spread_hot_keys(ks, rows, ["win"], models.select("win", "n"), ["point_id"], name="_copy", every_key=True)
+    return rows.join(shuffled(ks), key).drop("_copy")
 
 
 def lsh_models(points: DataFrame, params: GridParams, spec: WindowSpec | None, lsh: LshParams) -> DataFrame:

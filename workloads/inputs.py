@@ -18,6 +18,7 @@ EVENTS_3D = GridParams(radius=12.0, min_pts=10, dims=3)
 EVENTS_2D = GridParams(radius=4.0, min_pts=5, dims=2)
 EVENTS_1D = GridParams(radius=12.0, min_pts=5, dims=1)
 SHIPPED = GridParams(radius=4.0, min_pts=3, dims=3, sort_dim=1)
+SHIPPED_5D = GridParams(radius=8.0, min_pts=3, dims=5, sort_dim=1)
 EMBEDDED = GridParams(radius=1.2, min_pts=5, dims=64)
 STREAM_DELAY = timedelta(hours=1)
 
@@ -36,12 +37,13 @@ def events(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     return points_from_columns(table(spark, sf_dir, "events"), "event_id", event_coords(dims), "ts")
 
 
-def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipped(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
     """Order lines, numbered along all their columns: no smaller key is unique."""
     lines = table(spark, sf_dir, "lineitem")
     numbered = row_index(lines, lines.columns)
     coords = ["l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 100]
-    return points_from_columns(numbered, "row_index", coords, "l_shipdate")
+    coords += [F.col("l_tax") * 100, F.col("l_linenumber").cast("double")]
+    return points_from_columns(numbered, "row_index", coords[:dims], "l_shipdate")
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:

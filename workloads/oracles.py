@@ -28,7 +28,8 @@ def _shipped() -> str:
     )
     return (
         f"p AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS id, epoch_us(l_shipdate) AS us, "
-        "l_quantity AS x0, l_extendedprice / 1000 AS x1, l_discount * 100 AS x2 FROM lineitem)"
+        "l_quantity AS x0, l_extendedprice / 1000 AS x1, l_discount * 100 AS x2, "
+        "l_tax * 100 AS x3, CAST(l_linenumber AS DOUBLE) AS x4 FROM lineitem)"
     )
 
 
@@ -66,11 +67,11 @@ def _s2(params: GridParams) -> str:
     return " + ".join(f"(a.c{i} - b.c{i}) * (a.c{i} - b.c{i})" for i in range(params.dims))
 
 
-def _celled(params: GridParams, spec: WindowSpec) -> str:
+def _celled(params: GridParams, spec: WindowSpec, points: str | None = None) -> str:
     """Points per window with their cell (``g``) and cell counts (``c``)."""
     cs = _cs(params)
     return (
-        f"{_events(params.dims)}, {_windowed(spec)}, g AS (SELECT w.*, {_cells(params)} FROM w), "
+        f"{points or _events(params.dims)}, {_windowed(spec)}, g AS (SELECT w.*, {_cells(params)} FROM w), "
         f"c AS (SELECT win, {cs}, count(*) AS n FROM g GROUP BY win, {cs})"
     )
 
@@ -264,6 +265,8 @@ def build() -> dict[str, str]:
     cap = f" AND abs(a.c{p3.sort_dim} - b.c{p3.sort_dim}) <= 1"
     n3 = f"{counts3}, {_reach_sums(p3, ev)}"
     n2 = f"{counts2}, {_reach_sums(p2, ev)}"
+    p5, ship = inp.SHIPPED_5D, inp.SHIP_WINDOW
+    n5 = f"WITH {_celled(p5, ship, _shipped())}, {_reach_sums(p5, ship)}"
     cell = _cell(p3)
     level = f"CASE WHEN s2 <= {p2.dims} THEN 1 WHEN s2 <= {9 * p2.dims} THEN 2 ELSE 0 END"
     strict = (
@@ -343,6 +346,11 @@ def build() -> dict[str, str]:
             f"{n2} SELECT {_start(ev, 'g.win')}, g.id AS point_id FROM g JOIN n ON {_on_cells('g', 'n', p2)} "
             f"WHERE n.level2_count - 1 < {p2.min_pts}"
         ),
+        "level1_count_wide": f"{n5} SELECT {_start(ship)}, {_cell(p5)}, n, level1_count FROM n",
+        "definite_outliers_wide": (
+            f"{n5} SELECT {_start(ship, 'g.win')}, g.id AS point_id FROM g JOIN n ON {_on_cells('g', 'n', p5)} "
+            f"WHERE n.level2_count - 1 < {p5.min_pts}"
+        ),
         "lsh_params": (
             f"WITH {_events(3)}, {_windowed(ev)} SELECT {_start(ev)}, count(*) AS n, CAST({4 * p3.radius!r} AS DOUBLE) AS width, "
             f"{_k('count(*)')} AS k FROM w GROUP BY win"

@@ -184,6 +184,17 @@ def definite_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_start_ms(inp.EVENT_WINDOW), "point_id")
 
 
+def level1_count_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = cells.cell_counts(inp.shipped(spark, sf_dir, 5), inp.SHIPPED_5D, inp.SHIP_WINDOW)
+    sums = neighbors.neighbor_sums(counts, inp.SHIPPED_5D)
+    return sums.select(_start_ms(inp.SHIP_WINDOW), _cell(), "n", "level1_count")
+
+
+def definite_outliers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbors.definite_outliers(inp.shipped(spark, sf_dir, 5), inp.SHIPPED_5D, inp.SHIP_WINDOW)
+    return rows.select(_start_ms(inp.SHIP_WINDOW), "point_id")
+
+
 # ---- exact detection ------------------------------------------------------------------
 
 
@@ -318,6 +329,8 @@ QUERIES: dict[str, Query] = {
     "candidate_pairs": candidate_pairs,
     "dense_prune": dense_prune,
     "definite_outliers": definite_outliers,
+    "level1_count_wide": level1_count_wide,
+    "definite_outliers_wide": definite_outliers_wide,
     "lsh_params": lsh_params,
     "outliers_lsh": _hashed(approximate.detect_lsh, inp.EVENTS_3D, ONE_TABLE, True),
     "outliers_lsh_candidates": _hashed(approximate.detect_lsh, inp.EVENTS_3D, ONE_TABLE, False),
