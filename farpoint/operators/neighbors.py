@@ -103,10 +103,15 @@ def capped_sums(counts: DataFrame, params: GridParams, max_cells_per_slab: int =
     """
     d = params.dims
     top = slab_ranked(counts, params, top=max_cells_per_slab)
-    reach = [o for o in grid.offsets_within(d, d) if abs(o[params.sort_dim]) <= 1]
-    sent = top.select("win", "cell", "n", F.explode(grid.offset_literal(reach)).alias("o")).select(
-        "win", _shifted("cell", F.col("o"), d).alias("cell"), F.col("n").alias("part"), F.lit(None).cast("bigint").alias("n")
-    )
+    no_count = F.lit(None).cast("bigint").alias("n")
+    if grid.few_offsets(d, d):
+        reach = [o for o in grid.offsets_within(d, d) if abs(o[params.sort_dim]) <= 1]
+        sent = top.select("win", "cell", "n", F.explode(grid.offset_literal(reach)).alias("o")).select(
+            "win", _shifted("cell", F.col("o"), d).alias("cell"), F.col("n").alias("part"), no_count
+        )
+    else:
+        apart = F.abs(F.col("cell")[params.sort_dim] - F.col("near")[params.sort_dim])
+        sent = _joined_cells(counts, top, params, d).where(apart <= 1).select("win", "cell", F.col("n").alias("part"), no_count)
     home = counts.select("win", "cell", F.lit(0).cast("bigint").alias("part"), "n")
     return (
         sent.unionByName(home)

@@ -26,3 +26,5 @@ def test_joined_cells_equal_all_pairs(spark, monkeypatch, dims, listed):
     assert sorted(pairs) == sorted((c, b, n[b]) for c in still for b in n if s2[c, b] <= 9 * dims) and pairs
     levels = neighbors.leveled_pairs(counts, params).collect()
     assert len(levels) == sum(v <= 10 * dims for v in s2.values())
+    near = {c: sum(n[b] for b in n if s2[c, b] <= dims and abs(c[1] - b[1]) <= 1) for c in n}
+    assert {tuple(r.cell): r.level1_count for r in neighbors.capped_sums(counts, params, 1_000).collect()} == near
