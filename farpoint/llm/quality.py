@@ -68,12 +68,8 @@ def base_counts(texts: DataFrame, p: QualityParams) -> DataFrame:
 
 
 def _lines(texts: DataFrame, p: QualityParams) -> DataFrame:
-    """One row per line with enough words: host, the hash of the line (white space folded,
-    lower case, digits as one), its words, and an identity of its document.
-
-    The identity is the smallest hash among the text's other lines, so copies, whole or lightly
-    edited, count as one document: text that is copied is not boilerplate.
-    """
+    """One row per line: its text and host, the hash of the line (white space folded, lower
+    case, digits as one) and its words."""
     plain = F.regexp_replace(F.lower(F.btrim("text", F.lit(BLANKS))), "[0-9]+", "0")
     df = texts.select("row", "host", F.split(plain, "\n").alias("lines"))
     normal = F.transform("lines", lambda x: F.btrim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")))
@@ -82,13 +78,8 @@ def _lines(texts: DataFrame, p: QualityParams) -> DataFrame:
         "lines",
         lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words")),
     )
-    df = df.select("row", "host", keyed.alias("keyed"))
-    df = df.withColumn("_order", F.sort_array(F.array_distinct(F.transform("keyed", lambda x: x["line"]))))
-    first, second = F.get("_order", F.lit(0)), F.get("_order", F.lit(1))
-    df = df.select("row", "host", first.alias("first"), F.coalesce(second, first).alias("second"), F.explode_outer("keyed").alias("k"))
-    df = df.where("k is not null").select("row", "host", "first", "second", "k.line", "k.words")  # outer: no filter computes it again
-    document = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    return df.select("row", "host", document.alias("document"), "line", "words")
+    df = df.select("row", "host", F.explode_outer(keyed).alias("k"))
+    return df.where("k is not null").select("row", "host", "k.line", "k.words")  # outer: no filter computes it again
 
 
 def quality_rules(
@@ -101,7 +92,8 @@ def quality_rules(
     in lines that stay). Null text counts as empty: no words, so it fails. Null hosts
     are one host. Repeated rows get the same answer; other columns are ignored.
 
-    Lines found in more than ``host_documents`` distinct documents of their host are removed;
+    Lines found in more than ``host_documents`` distinct documents of their host are removed,
+    where rows of equal text are one document;
     a document with less than ``left_percent`` of its words left is rejected.
     """
     p = params or QualityParams()
@@ -147,7 +139,7 @@ def _shares(texts: DataFrame, p: QualityParams) -> DataFrame:
     """Percent of the words of each text that are ``left`` without its host's frequent lines."""
     lines = written(_lines(texts, p))
     keys = ["host", "line"]
-    found = lines.where(F.col("words") >= p.min_line_words).select(*keys, "document").distinct()
+    found = lines.where(F.col("words") >= p.min_line_words).select(*keys, "row").distinct()
     often = written(found.groupBy(*keys).count().where(F.col("count") > p.host_documents).select(*keys, F.lit(True).alias("often")))
     # the frequent lines are broadcast only if the table is small enough for it
     marked = lines.join(often, keys, "left")

@@ -84,6 +84,19 @@ def test_frequent_lines_reject_but_copies_do_not(spark):
     assert got[0].kept and 50 < got[0].percent_left < 100 and not got[99].kept and got[99].percent_left == 0
 
 
+def test_shared_lines_do_not_hide_each_other(spark):
+    word = lambda n: "".join(chr(97 + int(c)) for c in f"{n:05d}")
+    words = lambda n, k: " ".join(word(n * 20 + j) for j in range(k))
+    shared = [[words(10 * h + k, 10) for k in range(10)] for h in range(5)]
+    made = [(60 * h + i, "\n".join([*shared[h], *(words(100 + 120 * h + 2 * i + k, 4) for k in (0, 1))]), f"h{h}") for h in range(5) for i in range(60)]
+    made += [(1000 + i, "\n".join([*shared[0], words(900, 4)]), "few") for i in range(60)]  # one document, 60 times
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = by_id(quality.quality_rules(df))
+    assert all((got[i].percent_left, got[i].kept, got[i].base_failed) == (7, False, False) for i in range(300))
+    assert all((got[1000 + i].percent_left, got[1000 + i].kept) == (100, True) for i in range(60))
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {1000 + i for i in range(60)}
+
+
 def test_training_order(spark, docs, empty):
     p = training_order.OrderParams(length=64, per_shard=100)
     index, path = training_order.materialise(docs, params=p)
