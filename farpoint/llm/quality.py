@@ -17,7 +17,10 @@ class QualityParams:
     window: int = 8
     host_documents: int = 25  # a line in more distinct documents of one host is boilerplate
     left_percent: int = 15  # of the words must be left when such lines are gone
-    min_line_words: int = 2  # shorter lines are never boilerplate
+
+
+# Letters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han): each weighs as a word.
+UNSPACED = "\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{323AF}"
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -69,15 +72,18 @@ def base_counts(texts: DataFrame, p: QualityParams) -> DataFrame:
 
 def _lines(texts: DataFrame, p: QualityParams) -> DataFrame:
     """One row per line: its text and host, the hash of the line (white space folded, lower
-    case, digits as one) and its words."""
+    case, digits as one) and its words, where a letter of a script without blanks is one."""
     plain = F.regexp_replace(F.lower(F.btrim("text", F.lit(BLANKS))), "[0-9]+", "0")
     df = texts.select("row", "host", F.split(plain, "\n").alias("lines"))
     normal = F.transform("lines", lambda x: F.btrim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")))
     df = df.select("row", "host", F.filter(normal, lambda x: x != "").alias("lines"))
-    keyed = F.transform(
-        "lines",
-        lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words")),
-    )
+
+    def words(x: Column) -> Column:
+        spaced = F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
+        pieces = F.regexp_count(x, F.lit(f"[{UNSPACED}]|[^ {UNSPACED}]+"))
+        return F.when(F.rlike(x, F.lit(f"[{UNSPACED}]")), pieces).otherwise(spaced)
+
+    keyed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), words(x).alias("words")))
     df = df.select("row", "host", F.explode_outer(keyed).alias("k"))
     return df.where("k is not null").select("row", "host", "k.line", "k.words")  # outer: no filter computes it again
 
@@ -93,7 +99,7 @@ def quality_rules(
     are one host. Repeated rows get the same answer; other columns are ignored.
 
     Lines found in more than ``host_documents`` distinct documents of their host are removed,
-    where rows of equal text are one document;
+    where rows of equal text are one document, be the line ever so short;
     a document with less than ``left_percent`` of its words left is rejected.
     """
     p = params or QualityParams()
@@ -139,7 +145,7 @@ def _shares(texts: DataFrame, p: QualityParams) -> DataFrame:
     """Percent of the words of each text that are ``left`` without its host's frequent lines."""
     lines = written(_lines(texts, p))
     keys = ["host", "line"]
-    found = lines.where(F.col("words") >= p.min_line_words).select(*keys, "row").distinct()
+    found = lines.select(*keys, "row").distinct()
     often = written(found.groupBy(*keys).count().where(F.col("count") > p.host_documents).select(*keys, F.lit(True).alias("often")))
     # the frequent lines are broadcast only if the table is small enough for it
     marked = lines.join(often, keys, "left")

@@ -97,6 +97,23 @@ def test_shared_lines_do_not_hide_each_other(spark):
     assert {r.doc_id for r in quality.keep_good(df).collect()} == {1000 + i for i in range(60)}
 
 
+def test_lines_of_one_word_are_counted(spark):
+    word = lambda n: "".join(chr(97 + int(c)) for c in f"{n:05d}")
+    menu = "\n".join(word(n) for n in range(25))
+    made = [(i, f"{menu}\n{word(1000 + i)}", "menu") for i in range(40)]
+    made += [(100 + i, f"{word(2000 + i)}\n" + " ".join(word(3000 + 30 * i + j) for j in range(30)), "own") for i in range(40)]
+    notice, han = "版权所有不得转载", lambda n, k: "".join(chr(0x4E00 + 200 * n + j) for j in range(k))
+    made += [(200 + i, f"{notice}\n{han(i, 92)}", "long") for i in range(40)] + [(300 + i, f"{notice}\n{han(i, 1)}", "short") for i in range(40)]
+    thai = "สงวนลิขสิทธิ์"
+    made += [(400 + i, f"{thai}\n{word(i)}", "thai") for i in range(40)]
+    got = by_id(quality.quality_rules(spark.createDataFrame(made, "doc_id long, text string, source string")))
+    for i in range(40):
+        assert (got[i].percent_left, got[i].kept, got[i].base_failed) == (3, False, False)
+        assert (got[100 + i].percent_left, got[100 + i].kept) == (100, True)
+        assert (got[200 + i].percent_left, got[300 + i].percent_left) == (92, 11)
+        assert got[400 + i].percent_left == 100 // (len(thai) + 1)
+
+
 def test_training_order(spark, docs, empty):
     p = training_order.OrderParams(length=64, per_shard=100)
     index, path = training_order.materialise(docs, params=p)
