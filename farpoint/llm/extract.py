@@ -14,21 +14,46 @@ from pyspark.sql import functions as F
 # Element names by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video nav footer aside form button select textarea input menu dialog option".split())
+NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video nav footer aside button select textarea input menu dialog option".split())
 CONTENT = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split())
+#: Elements that are text: an id there is an anchor, and a compound class says little.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption".split())
 #: Words in class, id or role that name what is not the article.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|sidebar|side|footer|foot|header|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|comments?|reply|replies|respond|disqus|widget|login|signup|search|toolbar|pager|pagination|copyright|skip)(?:$|[\s_-])"
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|sidebar|side|footer|foot|header|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|comments?|reply|replies|respond|disqus|widget|login|signup|search|toolbar|pager|pagination|copyright|skip)"
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|main|content|body)(?:$|[\s_-])")
 
+# How sure a mark is: a whole name of BOILER words or a form, a part of a compound name, such a part on a section in an article.
+SURE, PART, SECTION = 3, 2, 1
+
+
+def mark(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    """What the names of an element say against it, 0 if nothing."""
+    best = SURE if tag == "form" else 0
+    if tag in ("html", "body", "article", "main"):
+        return best
+    for k, v in attrs:
+        if k not in ("class", "id", "role") or not v or (k == "id" and tag in PROSE):
+            continue
+        for name in v.lower().split():
+            parts = [bool(BOILER.fullmatch(x)) for x in re.split("[_-]+", name) if x]
+            if not any(parts):
+                continue
+            sure = all(parts) and not (k == "id" and tag == "section" and inside)
+            if sure or tag not in PROSE:
+                best = max(best, SURE if sure else SECTION if tag == "section" and inside else PART)
+    return best
+
 
 @dataclass(frozen=True)
 class ExtractParams:
     sigma: float = 1.0  # of the smoothing, in lines
     threshold: float = 1.0  # lines above so many deviations of the smoothed ratio are content
     length: int = 80  # characters that stand for one line of a longer block
+    sure_share: float = 0.5  # of the page's unlinked text: a form or a named element with more is no boilerplate
+    part_share: float = 0.3  # the same for an element with such a word in a compound name
 
 
 @dataclass
@@ -53,6 +78,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # name, number, boilerplate
         self.kinds: dict[int, str] = {}
+        self.marks: dict[int, tuple[int, bool]] = {}  # number: how sure, inside an article
         self.count = 0
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
@@ -91,13 +117,17 @@ class Page(HTMLParser):
         inside = any(self.kinds.get(n) == "content" for _, n, _ in self.stack)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in (v or "").replace(" ", "")) for k, v in attrs)
         bad = tag in NEVER or (tag == "header" and not inside) or hidden
-        bad = bad or (tag not in ("html", "body", "article", "main") and bool(said) and bool(BOILER.search(said)) and not (inside is False and ARTICLE.search(said)))
+        against = mark(tag, attrs, inside) if said or tag == "form" else 0
+        if against and tag != "form" and not inside and ARTICLE.search(said):
+            against = 0
         if self.stack and self.stack[-1][2]:
             bad = True
         self.count += 1
+        if against and not bad:
+            self.marks[self.count] = (against, inside)
         if tag in CONTENT:
             self.kinds[self.count] = "content"
-        elif said and ARTICLE.search(said) and not bad:
+        elif said and ARTICLE.search(said) and not bad and not against:
             self.kinds[self.count] = "named"
         self.stack.append((tag, self.count, bad))
         self.links += tag == "a"
@@ -124,6 +154,46 @@ class Page(HTMLParser):
             self.linked += len(data)
 
 
+def settle(page: Page, p: ExtractParams) -> None:
+    """Makes boilerplate of the lines in marked elements, where the text does not outweigh the mark."""
+    lines = [x for x in page.lines if not x.boiler]
+    free = [max(len(x.text) - x.linked, 0) for x in lines]
+    held: dict[int, float] = dict.fromkeys(page.marks, 0.0)  # unlinked text in the element,
+    within = dict.fromkeys(page.marks, 0.0)  # in an article in it,
+    around = dict.fromkeys(page.marks, 0.0)  # in all articles, with it
+    longest = dict.fromkeys(page.marks, 0)
+    every = dict.fromkeys(page.marks, 0)
+    articles = 0.0
+    for x, w in zip(lines, free, strict=True):
+        first = next((n for n in x.path if page.kinds.get(n) == "content"), None)
+        last = next((n for n in reversed(x.path) if page.kinds.get(n) == "content"), 0)
+        articles += w if first else 0
+        for n in x.path:
+            if n in held:
+                held[n] += w
+                every[n] += len(x.text)
+                longest[n] = max(longest[n], w)
+                within[n] += w if last > n else 0
+                around[n] += w if first else 0
+    total = sum(free)
+    gone = set()
+    for n, (sure, inside) in page.marks.items():
+        outside = articles - around[n]
+        linked = 2 * held[n] <= every[n]
+        if within[n] > outside * (1 if sure == SURE else 0.25):
+            continue  # the article is in it
+        if sure == SURE:
+            small = held[n] <= p.sure_share * total or outside >= 0.2 * total
+        elif inside:
+            small = linked or (sure == PART and longest[n] < p.length)
+        else:
+            small = linked or held[n] <= p.part_share * total
+        if small:
+            gone.add(n)
+    for x in lines:
+        x.boiler = not gone.isdisjoint(x.path)
+
+
 def _ratios(lines: list[Line], p: ExtractParams) -> np.ndarray:
     """Text-to-tag ratio of each line, text in links left out, smoothed by a Gaussian."""
     ratio = np.array([0.0 if x.boiler else max(len(x.text) - x.linked, 0) / (1 + x.tags) for x in lines])
@@ -147,6 +217,8 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
     page.feed(html)
     page.close()
     page._flush()
+    if page.marks:
+        settle(page, p)
     lines = page.lines
     if not any(not x.boiler for x in lines):
         return ""

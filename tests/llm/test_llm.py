@@ -146,6 +146,24 @@ def test_extraction(spark):
     assert got[5].text.startswith("Long") and "Tiny." in got[5].text and "A B" not in got[5].text
 
 
+def test_names_do_not_outweigh_the_text():
+    one, two = "Long enough words stand here for a line. " * 6, "And there are more of them in this one. " * 5
+    body = f"<article><h1>Title</h1><p>{one}</p><p>{two}</p></article>"
+    want = " ".join(f"Title {one}{two}".split())
+    for before, after in (
+        ("<div class='with-sidebar'>", "</div>"), ("<div class='layout no-footer'>", "</div>"), ("<div id=page class='nav-open'>", "</div>"),
+        ("<form id=aspnetForm>", "</form>"), ("<div class=sidebar>", "</div>"),
+    ):
+        for text in (body, body.replace("article>", "div>")):
+            page = f"<body><div class=menu><a href=x>Home</a></div>{before}{text}<div class=sidebar>More of our site.</div><form>Your mail</form>{after}<div class=site-footer>All ours.</div></body>"
+            assert extract.main_text(page) == want, page
+    inner = f"<section id='related-work'><h2 id='search-trees'>Trees</h2><p class='side-note'>A note.</p><p>{two}</p></section>"
+    page = f"<body><article><p>{one}</p>{inner}<div class=comments><p>{two}</p></div><section id=related><a href=1>Other</a></section></article></body>"
+    assert extract.main_text(page) == " ".join(f"{one}Trees A note. {two}".split())
+    page = f"<body><article><p>{one}{one}</p></article><div id=comments><article>{two}</article></div></body>"
+    assert extract.main_text(page) == " ".join((one + one).split())
+
+
 def test_bpe(docs, rows, empty):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
