@@ -78,6 +78,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # name, number, boilerplate
         self.kinds: dict[int, str] = {}
+        self.inline: set[int] = set()
         self.marks: dict[int, tuple[int, bool]] = {}  # number: how sure, inside an article
         self.count = 0
         self.parts: list[str] = []
@@ -125,6 +126,8 @@ class Page(HTMLParser):
         self.count += 1
         if against and not bad:
             self.marks[self.count] = (against, inside)
+        if tag in INLINE:
+            self.inline.add(self.count)
         if tag in CONTENT:
             self.kinds[self.count] = "content"
         elif said and ARTICLE.search(said) and not bad and not against:
@@ -194,10 +197,15 @@ def settle(page: Page, p: ExtractParams) -> None:
         x.boiler = not gone.isdisjoint(x.path)
 
 
-def _ratios(lines: list[Line], p: ExtractParams) -> np.ndarray:
-    """Text-to-tag ratio of each line, text in links left out, smoothed by a Gaussian."""
+def _own(lines: list[Line], p: ExtractParams) -> np.ndarray:
+    """Text-to-tag ratio of each line, text in links left out."""
     ratio = np.array([0.0 if x.boiler else max(len(x.text) - x.linked, 0) / (1 + x.tags) for x in lines])
-    ratio = np.minimum(ratio, p.length * 4)
+    return np.minimum(ratio, p.length * 4)
+
+
+def _ratios(lines: list[Line], p: ExtractParams) -> np.ndarray:
+    """The ratios, smoothed by a Gaussian."""
+    ratio = _own(lines, p)
     reach = max(1, int(3 * p.sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / p.sigma) ** 2)
     padded = np.concatenate([np.full(reach, 0.0), ratio, np.full(reach, 0.0)])
@@ -207,10 +215,11 @@ def _ratios(lines: list[Line], p: ExtractParams) -> np.ndarray:
 def main_text(html: str, params: ExtractParams | None = None) -> str:
     """Text of the content region of one page.
 
-    Lines whose smoothed ratio lies above the threshold are content. The region is the element
-    that holds most of their text: an article or main element, one named as such, or else the
-    smallest element with nearly all of it. All of the region's blocks are kept, short ones
-    too, but for those inside menus, forms and the like.
+    Lines whose smoothed ratio lies above the threshold are content. All of them are kept that
+    lie above it themselves, not by their neighbours' weight alone, with the short blocks beside
+    them in their element. Every article or main element with content is kept with all its
+    blocks, and so is the element that holds most of the content: one named as such, or else the
+    smallest with nearly all of it. Menus, forms and the like are never kept.
     """
     p = params or ExtractParams()
     page = Page()
@@ -224,25 +233,51 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
         return ""
     smooth = _ratios(lines, p)
     clear = np.array([not x.boiler for x in lines])
-    content = clear & (smooth >= min(p.threshold * smooth.std(), smooth[clear].max()))
+    least = min(p.threshold * smooth.std(), smooth[clear].max())
+    content = clear & (smooth >= least)
     weight = np.array([len(x.text) - x.linked for x in lines], float) * content
     mass: dict[int, float] = {}
     for x, w in zip(lines, weight, strict=True):
         for n in x.path:
             mass[n] = mass.get(n, 0.0) + w
-    total = weight.sum()
-    for kind, share in (("content", 0.3), ("named", 0.5)):
-        found = [n for n in mass if page.kinds.get(n) == kind and mass[n] >= share * total and mass[n] > 0]
-        if found:
-            best = max(found, key=lambda n: (round(mass[n], 6), n))
-            return " ".join(x.text for x in lines if best in x.path and not x.boiler)
-    found = [n for n in mass if mass[n] >= 0.8 * total]
-    best = max(found, default=None)  # the innermost: numbers grow inwards
+    regions = _regions(page, lines, mass, weight.sum())
+    taken = clear & np.array([not regions or not regions.isdisjoint(x.path) for x in lines])
+    own = _own(lines, p)
+    for i in np.flatnonzero(content & ~taken & (own >= least)):
+        _grow(page, lines, int(i), clear, taken)
+    return " ".join(x.text for x, t in zip(lines, taken, strict=True) if t)
+
+
+def _regions(page: Page, lines: list[Line], mass: dict[int, float], total: float) -> set[int]:
+    """Elements that are kept whole; none stands for the page."""
+    found = {n for n in mass if page.kinds.get(n) == "content" and mass[n] > 0}
+    if found:
+        return found
+    named = [n for n in mass if page.kinds.get(n) == "named" and mass[n] >= 0.5 * total and mass[n] > 0]
+    if named:
+        return {max(named, key=lambda n: (round(mass[n], 6), n))}
+    best = max((n for n in mass if mass[n] >= 0.8 * total), default=None)  # the innermost: numbers grow inwards
     path = next((x.path[: x.path.index(best) + 1] for x in lines if best in x.path), ())
-    if len(path) and all(x.path[-1] == best for x in lines if best in x.path) and len(path) > 1:
+    if len(path) > 1 and all(x.path[-1] == best for x in lines if best in x.path):
         siblings = path[-2]  # a lone block: its neighbours belong to it
         best = siblings if mass.get(siblings, 0) >= 0.8 * total else best
-    return " ".join(x.text for x in lines if not x.boiler and (best is None or best in x.path))
+    return set() if best is None else {best}
+
+
+def _grow(page: Page, lines: list[Line], i: int, clear: np.ndarray, taken: np.ndarray) -> None:
+    """Takes line ``i`` and, on both sides, the blocks of its parent element that follow each
+    other without a block from elsewhere, up to one that is mostly links."""
+    blocks = [n for n in lines[i].path if n not in page.inline]
+    parent = tuple(blocks[:-1])
+    taken[i] = True
+    for step in (-1, 1):
+        j = i + step
+        while 0 <= j < len(lines):
+            path = tuple(n for n in lines[j].path if n not in page.inline)
+            if not clear[j] or taken[j] or path[: len(parent)] != parent or 2 * lines[j].linked > len(lines[j].text):
+                break
+            taken[j] = True
+            j += step
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), params: ExtractParams | None = None) -> DataFrame:

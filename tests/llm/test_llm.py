@@ -164,6 +164,21 @@ def test_names_do_not_outweigh_the_text():
     assert extract.main_text(page) == " ".join((one + one).split())
 
 
+def test_all_content_clusters_are_kept():
+    text = lambda k, n: f"Sentence {k} says enough for this. " * n
+    flat = lambda *x: " ".join("".join(x).split())
+    p = lambda k, n: f"<p>{text(k, n)}</p>"
+    menu = "<div><a href=1>One</a></div><div><a href=2>Two</a></div>"
+    page = f"<body>{menu}<article><h1>A</h1>{p(1, 6)}{p(2, 6)}</article><article><h1>B</h1>{p(3, 4)}{p(4, 4)}</article></body>"
+    assert extract.main_text(page) == flat("A ", text(1, 6), text(2, 6), "B ", text(3, 4), text(4, 4))
+    page = f"<body>{menu}<div>{p(1, 8)}{p(2, 9)}</div><div>{p(3, 3)}<p>Tiny.</p></div>{menu}</body>"
+    assert extract.main_text(page) == flat(text(1, 8), text(2, 9), text(3, 3), "Tiny.")
+    page = f"<body>{menu}<article>{p(1, 8)}</article><div><h2>More</h2>{p(2, 5)}</div>{menu}</body>"
+    assert extract.main_text(page) == flat(text(1, 8), "More ", text(2, 5))
+    page = f"<body>{menu}<div>{p(1, 5)}</div><section>{p(2, 5)}</section><div>{p(3, 5)}</div></body>"
+    assert all(f"Sentence {k}" in extract.main_text(page) for k in (1, 2, 3))
+
+
 def test_bpe(docs, rows, empty):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
