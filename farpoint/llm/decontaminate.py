@@ -29,19 +29,40 @@ def with_words(df: DataFrame, text: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.transform(words, lambda w: F.xxhash64(w))).drop("_plain")
 
 
-def _seeds(rows: DataFrame, words: str, *keep: str) -> DataFrame:
-    """One row per mask and place: ``place``, ``seed`` and the kept columns. The word array is
-    read in place, it is not copied to the rows."""
+def _seeds(rows: DataFrame, words: str, *keep: str, runs: tuple[int, ...] = ()) -> DataFrame:
+    """One row per mask, or run of so many words, and place: ``place``, ``seed`` and the kept
+    columns. The word array is read in place, it is not copied to the rows."""
+    masks = [*enumerate(MASKS), *((len(MASKS) + k, tuple(range(k))) for k in runs)]
     at = rows.select(*keep, words, F.posexplode_outer(words).alias("place", "_w")).drop("_w")
 
     def seed(n: int, mask: tuple[int, ...]) -> Column:
         inside = F.col("place") + (mask[-1] + 1) <= F.size(words)
         return F.when(inside, F.xxhash64(F.lit(n), *[F.get(words, F.col("place") + j) for j in mask]))
 
-    seeds = F.explode(F.array(*[seed(n, m) for n, m in enumerate(MASKS)])).alias("seed")
+    seeds = F.explode(F.array(*[seed(n, m) for n, m in masks])).alias("seed")
     return at.select(*keep, words, "place", seeds).where("seed is not null")
 
 
+def _short(items: DataFrame, p: DecontaminationParams) -> DataFrame:
+    """Items below one window, cut into one piece more than words may differ, so that a piece is
+    whole in every overlap: ``run``, the words of each piece, and ``pieces``."""
+    n = F.size("item")
+    pieces = F.floor(n * (100 - p.percent) / 100).cast("int") + 1
+    short = items.where(n < p.window).withColumn("pieces", F.least(pieces, n))
+    return short.withColumn("run", F.floor(n / F.col("pieces")).cast("int"))
+
+
+def _pieces(short: DataFrame, runs: tuple[int, ...]) -> DataFrame:
+    """One row per piece, as ``_seeds`` makes them."""
+    at = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i")
+    at = short.select("item_id", "item", "run", at).withColumn("place", F.col("i") * F.col("run"))
+    seed = F.lit(None).cast("bigint")
+    for k in runs:
+        words = [F.get("item", F.col("place") + j) for j in range(k)]
+        seed = F.when(F.col("run") == k, F.xxhash64(F.lit(len(MASKS) + k), *words)).otherwise(seed)
+    return at.select("item_id", "item", "place", seed.alias("seed"))
+
+
 def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: DecontaminationParams | None = None) -> DataFrame:
     """Places where a text overlaps a benchmark item: ``row`` (hash of the text), ``item_id``,
     ``first_word`` (of the text, where the item would begin), ``matched`` (most agreeing words
@@ -49,17 +70,21 @@ def overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
 
     Texts and items are cut into words; the seeds of all places are joined, hits of one
     diagonal are one candidate, and the words along it are compared window by window, so
-    substituted words are tolerated and inserted ones start another diagonal.
+    substituted words are tolerated and inserted ones start another diagonal. Items shorter than
+    the window are found by the seeds of their pieces, too, whichever of their words differ.
     """
     p = params or DecontaminationParams()
     items = with_words(benchmark, F.col(item_text_col).cast("string"), "item")
-    items = items.select(F.col(item_col).alias("item_id"), "item").where(F.size("item") >= min(len(m) for m in MASKS)).distinct()
-    seeds = written(_seeds(items, "item", "item_id").withColumnRenamed("place", "item_place"))
+    items = items.select(F.col(item_col).alias("item_id"), "item").where(F.size("item") > 0).distinct()
+    short = written(_short(items, p))
+    runs = tuple(sorted(r.run for r in short.select("run").distinct().collect()))  # below one window: a few values
+    seeds = _seeds(items, "item", "item_id").unionByName(_pieces(short, runs))
+    seeds = written(seeds.withColumnRenamed("place", "item_place"))
     if seeds.count() <= p.broadcast_rows:
         seeds = F.broadcast(seeds)
     texts = df.select(text_hash(F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("_text"))
     texts = with_words(texts, F.col("_text"), "words").drop("_text")
-    hits = _seeds(texts, "words", "row").join(seeds, "seed")
+    hits = _seeds(texts, "words", "row", runs=runs).join(seeds, "seed")
     begin = F.col("place") - F.col("item_place")  # where the item's first word would be
     from_word = F.greatest(begin, F.lit(0))
     length = begin + F.size("item") - from_word
@@ -83,10 +108,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """Verdict on every text.
 
     One row per input row: ``doc_id``, ``contaminated``, ``n_items`` and ``item_ids`` (sorted)
-    of the benchmark items it overlaps (see ``overlaps``). A null or short text overlaps
-    nothing, a benchmark item of fewer words than a mask has is not looked for, a null item id
-    counts as an item of its own but is not listed. Repeated rows get the same answer; other
-    columns are ignored.
+    of the benchmark items it overlaps (see ``overlaps``). A null or empty text overlaps
+    nothing, a benchmark item without words is not looked for, a null item id counts
+    as an item of its own but is not listed. Repeated rows get the same answer; other columns
+    are ignored.
     """
     found = overlaps(df, benchmark, text_col=text_col, params=params)
     found = found.select("row", "item_id").distinct().groupBy("row")

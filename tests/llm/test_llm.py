@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,19 @@ def test_decontamination(spark, docs, rows, empty):
     assert by_id(decontaminate.decontaminate(texts, benchmark, params=few)) == got
 
 
+def test_short_items_with_any_words_changed(spark):
+    items = {n: [f"i{n}x{j}" for j in range(n)] for n in range(1, 16)}
+    made = []
+    for n, w in items.items():
+        for k in range(n // 5 + 2):
+            for gone in combinations(range(n), k) if k <= n // 5 else [range(k), range(n - k, n)]:
+                text = [*("before it " * 3).split(), *("other" if j in gone else x for j, x in enumerate(w)), "after"]
+                made.append((len(made), " ".join(text), [n] if k <= n // 5 else []))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = by_id(decontaminate.decontaminate(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), benchmark))
+    assert [(m, got[m[0]].item_ids) for m in made if got[m[0]].item_ids != m[2]] == []
+
+
 def test_language(spark, docs, empty):
     made = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "en"), ("x", None)]
     model = langid.fit(spark.createDataFrame(made, "text string, lang string"))
