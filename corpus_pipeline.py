@@ -54,7 +54,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe),
 ]
 
-#: BPE cannot be said in SQL; the rows are held against a brute-force version in tests/llm.
+#: BPE cannot be said in SQL; the rows are held against a plain Python version in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
