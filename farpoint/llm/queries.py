@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import bpe, decontaminate, extract, jaccard, langid, licenses, linededup, lmscore, quality, training_order
+from farpoint.llm import (
+    audit, bpe, decontaminate, extract, jaccard, langid, licenses, linededup, lmscore, packing, quality, search, training_order,
+)
 from farpoint.llm.steps import read_table
 
 
@@ -73,6 +75,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.lm_score(docs, training=~held_out, keep={"held_out": held_out})
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    params = packing.PackParams(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), params)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_training_order": op2_training_order,
@@ -84,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_ranked_search": op13_ranked_search,
 }
