@@ -21,6 +21,8 @@ SHIPPED = GridParams(radius=4.0, min_pts=3, dims=3, sort_dim=1)
 SHIPPED_5D = GridParams(radius=8.0, min_pts=3, dims=5, sort_dim=1)
 EMBEDDED = GridParams(radius=1.2, min_pts=5, dims=64)
 STREAM_DELAY = timedelta(hours=1)
+STREAM_BATCHES = 5  # micro-batches that a table is replayed in
+STREAM_FILES = 2  # files of each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

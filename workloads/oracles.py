@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from farpoint.functions import hashing
 from farpoint.params import GridParams, LshParams, WindowSpec
+from farpoint.streaming.state import tick_us
 from workloads import inputs as inp
 from workloads.queries import ONE_TABLE, THREE_TABLES
 
@@ -129,6 +130,12 @@ def _updates() -> str:
     )
 
 
+def _tick_end(us: str) -> str:
+    """End of the tick of a trailing count that holds an instant."""
+    tick = tick_us(inp.EVENT_WINDOW.size)
+    return f"({us} + {tick - 1}) // {tick} * {tick}"
+
+
 def _latest() -> str:
     p, spec = inp.EVENTS_1D, inp.EVENT_WINDOW
     w, s = spec.size_us, spec.slide_us
@@ -363,5 +370,11 @@ def build() -> dict[str, str]:
         "outliers_lsh_local_candidates": _lsh_near(p2, THREE_TABLES, False, False),
         "accuracy": _accuracy(),
         "outliers_stream": _exact(_events(2), p2, ev, closed),
+        "outliers_stream_joined": _exact(_events(2), p2, ev, closed),
+        "cell_running_count_stream": (
+            f"WITH {_running()} SELECT id AS point_id, {_cell(p1)}, cell_count FROM r WHERE {_tick_end('us')} <= "
+            f"(SELECT max(us) - {delay} FROM p)"
+        ),
+        "cell_updates_stream": f"{_updates()} AND {_tick_end('moment')} <= (SELECT max(us) - {delay} FROM p)",
         "cell_counts_stream": f"{counts2} SELECT {_start(ev)}, {_cell(p2)}, n FROM c WHERE {closed}",
     }

@@ -16,7 +16,9 @@ from farpoint.plans import approximate, exact
 from farpoint.plans.tables import shared_folder
 from farpoint.sources import points as src
 from farpoint.sources import sinks
+from farpoint.streaming import joined, state
 from farpoint.streaming import outliers as streaming
+from farpoint.streaming.state import state_on_disk
 from workloads import inputs as inp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,10 +267,28 @@ def accuracy_of_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streaming ------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = inp.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return src.points_from_columns(rows, "event_id", inp.event_coords(2), "ts")
+def _event_stream(spark: SparkSession, sf_dir: str, dims: int = 2) -> DataFrame:
+    """The events as they would have come in: one micro-batch for each slice of time."""
+    table = inp.table(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    first, last = table.agg(F.min("ts"), F.max("ts")).first()
+    number = F.lit(0)
+    for i in range(1, inp.STREAM_BATCHES if first else 1):
+        number = number + (F.col("ts") >= F.lit(first + i * (last - first) / inp.STREAM_BATCHES)).cast("int")
+    for i in range(inp.STREAM_BATCHES):  # files of a slice are older than those of the next
+        table.where(number == i).repartition(inp.STREAM_FILES).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", inp.STREAM_FILES).parquet(folder)
+    return src.points_from_columns(rows, "event_id", inp.event_coords(dims), "ts")
+
+
+def _run_to_end(stream: DataFrame) -> DataFrame:
+    """All rows that a streaming plan gives for what is there now."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+    with state_on_disk(spark):
+        writer.trigger(availableNow=True).format("parquet").start(f"{root}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
 def outliers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,20 +299,28 @@ def outliers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(streaming.read_stream_outliers(spark, root))
 
 
+def outliers_stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = joined.stream_outliers_joined(_event_stream(spark, sf_dir), inp.EVENTS_2D, inp.EVENT_WINDOW, inp.STREAM_DELAY)
+    return _shown(_run_to_end(stream))
+
+
 def cell_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     counts = streaming.stream_cell_counts(
         _event_stream(spark, sf_dir), inp.EVENTS_2D, inp.EVENT_WINDOW, inp.STREAM_DELAY
     )
-    (
-        counts.writeStream.outputMode("append")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(f"{root}/counts")
-        .awaitTermination()
-    )
-    return spark.read.schema(counts.schema).parquet(f"{root}/counts").select(_ms("window_start"), _cell(), "n")
+    return _run_to_end(counts).select(_ms("window_start"), _cell(), "n")
+
+
+def cell_running_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _event_stream(spark, sf_dir, 1)
+    counts = state.stream_running_counts(points, inp.EVENTS_1D, inp.EVENT_WINDOW.size, inp.STREAM_DELAY)
+    return _run_to_end(counts).select("point_id", _cell(), F.col("count").alias("cell_count"))
+
+
+def cell_updates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _event_stream(spark, sf_dir, 1)
+    changes = state.stream_cell_updates(points, inp.EVENTS_1D, inp.EVENT_WINDOW.size, inp.STREAM_DELAY)
+    return _run_to_end(changes).select(_cell(), F.col("at").alias("at_us"), F.col("count").alias("cell_count"))
 
 
 QUERIES: dict[str, Query] = {
@@ -344,5 +372,8 @@ QUERIES: dict[str, Query] = {
     ),
     "accuracy": accuracy_of_lsh,
     "outliers_stream": outliers_stream,
+    "outliers_stream_joined": outliers_stream_joined,
     "cell_counts_stream": cell_counts_stream,
+    "cell_running_count_stream": cell_running_count_stream,
+    "cell_updates_stream": cell_updates_stream,
 }
