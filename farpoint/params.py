@@ -103,6 +103,7 @@ class LshParams:
     width: float | None = None  # None: four times the radius
     seed: int = 7
     verify: bool = True  # a candidate counts only if it lies within the radius
+    probes: int = 0  # further buckets of each table that a question looks into
 
     def __post_init__(self) -> None:
         if self.num_tables < 1:
@@ -111,6 +112,8 @@ class LshParams:
             raise ValueError("hashes must be at least 1")
         if self.width is not None and not self.width > 0:
             raise ValueError("width must be positive")
+        if self.probes < 0:
+            raise ValueError("probes must not be negative")
 
     def width_for(self, radius: float) -> float:
         return self.width if self.width is not None else 4 * radius

@@ -35,7 +35,7 @@ from farpoint.plans.exact import (
     open_partial_boxes,
     settle_points,
 )
-from farpoint.plans.tables import shuffled, spread_hot_keys, written
+from farpoint.plans.tables import shuffled, spread_hot_keys, with_small, written
 
 # each window stands for one instant: rows already carry their window number
 PER_WINDOW = WindowSpec(timedelta(microseconds=1), timedelta(microseconds=1))
@@ -58,10 +58,8 @@ def _with_k(rows: DataFrame, models: DataFrame, lsh: LshParams) -> DataFrame:
     """Add k of the row's window. ``models`` has the model size ``n`` per window."""
     if lsh.hashes is not None:
         return rows.withColumn("k", F.lit(lsh.hashes))
-    # a model holds all rows that ask it, so its size says how many copies of its k are needed
-    ks = models.select("win", hashing.hash_count(F.col("n"), lsh).alias("k"))
-    ks, rows, key = spread_hot_keys(ks, rows, ["win"], models.select("win", "n"), ["point_id"], name="_copy", every_key=True)
-    return rows.join(shuffled(ks), key).drop("_copy")
+    ks = written(models.select("win", hashing.hash_count(F.col("n"), lsh).alias("k")))
+    return with_small(rows, ks, ["win"], ["point_id"])
 
 
 def lsh_models(points: DataFrame, params: GridParams, spec: WindowSpec | None, lsh: LshParams) -> DataFrame:

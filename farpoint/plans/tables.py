@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 1000  # rows of a broadcast list of the largest keys
 CHUNK_ROWS = 50_000  # rows of one key that a single task takes on
+SMALL_ROWS = 100_000  # rows of a table that may be broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -91,3 +92,16 @@ def spread_hot_keys(
     right = dealt(right).withColumn(name, F.pmod(F.xxhash64(*right_row), F.col("_parts")))
     left = dealt(left).withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
     return left.drop("_parts"), right.drop("_parts"), [*keys, name]
+
+
+def with_small(rows: DataFrame, small: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+    """Add the columns of ``small``, one row for each key, to ``rows``.
+
+    ``small`` is counted: up to ``SMALL_ROWS`` it is broadcast, so the rows stay where they are.
+    Beyond that both sides are shuffled, with the rows of large keys dealt by ``row``.
+    """
+    if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(small), keys)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    small, rows, keys = spread_hot_keys(small, rows, keys, counts, row, name="_copy", every_key=True)
+    return rows.join(shuffled(small), keys).drop("_copy")

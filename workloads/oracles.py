@@ -8,7 +8,7 @@ from farpoint.functions import hashing
 from farpoint.params import GridParams, LshParams, WindowSpec
 from farpoint.streaming.state import tick_us
 from workloads import inputs as inp
-from workloads.queries import ONE_TABLE, THREE_TABLES
+from workloads.queries import ONE_TABLE, PROBED, PROBED_TABLES, THREE_TABLES
 
 EVENT_XS = [
     "value",
@@ -242,6 +242,78 @@ def _lsh_near(params: GridParams, lsh: LshParams, verify: bool, shared: bool) ->
     )
 
 
+def _value(direction: list[float], shift: float, width: float) -> str:
+    dot = " + ".join(f"x{i} * CAST({a!r} AS DOUBLE)" for i, a in enumerate(direction))
+    return f"({dot} + CAST({shift!r} AS DOUBLE)) / CAST({width!r} AS DOUBLE)"
+
+
+def _probed(params: GridParams, lsh: LshParams, asked: str) -> str:
+    """Points per window ``g``, and ``near``: the pairs within the radius that a table brings
+    together. ``asked`` is SQL of the questions ``a (win, id)``."""
+    width, spec = lsh.width_for(params.radius), inp.EVENT_WINDOW
+    tables = hashing.projections(lsh, params.dims, params.radius)
+    values = ", ".join("[" + ", ".join(_value(a, b, width) for a, b in t) + f"] AS v{i}" for i, t in enumerate(tables))
+    w, s = spec.size_us, spec.slide_us
+    parts = [
+        f"{_events(params.dims)}, q AS (SELECT p.*, {_cells(params)}, {values} FROM p), g AS (SELECT q.*, "
+        f"unnest(generate_series((us - {w}) // {s} + 1, us // {s})) AS win FROM q), "
+        f"c AS (SELECT win, {_cs(params)}, count(*) AS n FROM g GROUP BY win, {_cs(params)}), {_reach_sums(params, spec)}, "
+        f"z AS (SELECT win, {_k('count(*)')} AS k FROM g GROUP BY win), {asked}"
+    ]
+    for t in range(lsh.num_tables):
+        parts.append(
+            f"h{t} AS (SELECT g.*, z.k, v{t}[1:z.k] AS v, list_transform(v{t}[1:z.k], lambda x: CAST(floor(x) AS BIGINT)) AS b "
+            f"FROM g JOIN z ON g.win = z.win), "
+            f"a{t} AS (SELECT h.win, h.id, h.v, h.b FROM h{t} h JOIN a ON h.win = a.win AND h.id = a.id), "
+            f"m{t} AS (SELECT win, id, i, step, CASE WHEN step < 0 THEN (v[i] - floor(v[i])) * (v[i] - floor(v[i])) "
+            f"ELSE (1.0::DOUBLE - (v[i] - floor(v[i]))) * (1.0::DOUBLE - (v[i] - floor(v[i]))) END AS score FROM "
+            f"(SELECT *, unnest(generate_series(1, len(b))) AS i FROM a{t}), (SELECT unnest([-1, 1]) AS step)), "
+            f"r{t} AS (SELECT *, row_number() OVER (PARTITION BY win, id ORDER BY score, i, step) AS place FROM m{t} "
+            f"QUALIFY place <= {lsh.probes}), "
+            f"e{t} AS (SELECT win, id, score, i, step, 0 AS j, 0 AS other FROM r{t} UNION ALL SELECT x.win, x.id, "
+            f"x.score + y.score, x.i, x.step, y.i, y.step FROM r{t} x JOIN r{t} y ON x.win = y.win AND x.id = y.id "
+            f"AND x.place < y.place AND x.i <> y.i), "
+            f"s{t} AS (SELECT *, row_number() OVER (PARTITION BY win, id ORDER BY score, i, step, j, other) AS place FROM e{t} "
+            f"QUALIFY place <= {lsh.probes}), "
+            f"o{t} AS (SELECT win, id, b FROM a{t} UNION ALL SELECT s.win, s.id, list_transform(a.b, lambda x, n: "
+            f"x + CASE WHEN n = s.i THEN s.step ELSE 0 END + CASE WHEN n = s.j THEN s.other ELSE 0 END) FROM s{t} s "
+            f"JOIN a{t} a ON s.win = a.win AND s.id = a.id)"
+        )
+    met = " UNION ".join(
+        f"SELECT o.win, o.id, h.id AS other FROM o{t} o JOIN h{t} h ON o.win = h.win AND o.b = h.b AND o.id <> h.id"
+        for t in range(lsh.num_tables)
+    )
+    near = (
+        f"met AS ({met}), near AS (SELECT met.win, met.id, met.other, {_near(params, 'x', 'y')} AS distance FROM met JOIN p x "
+        f"ON met.id = x.id JOIN p y ON met.other = y.id WHERE {_near(params, 'x', 'y')} <= {params.radius!r})"
+    )
+    return "WITH " + ", ".join([*parts, near])
+
+
+def _lsh_probed() -> str:
+    p, spec = inp.EVENTS_3D, inp.EVENT_WINDOW
+    asked = (
+        f"a AS (SELECT g.win, g.id FROM g JOIN n ON {_on_cells('g', 'n', p)} WHERE n.level1_count - 1 < {p.min_pts})"
+    )
+    return (
+        f"{_probed(p, PROBED, asked)} SELECT {_start(spec)}, {_end(spec)}, id AS point_id FROM (SELECT a.win, a.id FROM a LEFT JOIN "
+        f"near USING (win, id) GROUP BY a.win, a.id HAVING count(near.other) < {p.min_pts})"
+    )
+
+
+def _knn_lsh() -> str:
+    p, spec = inp.EVENTS_3D, inp.EVENT_WINDOW
+    asked = (
+        f"a AS (SELECT x.win, x.id FROM g x JOIN g y ON x.win = y.win AND {_near(p, 'x', 'y')} <= {p.radius!r} "
+        f"GROUP BY x.win, x.id HAVING count(*) - 1 < {p.min_pts})"
+    )
+    return (
+        f"{_probed(p, PROBED_TABLES, asked)}, f AS (SELECT *, row_number() OVER (PARTITION BY win, id ORDER BY distance, other) "
+        f"AS place FROM near) SELECT {_start(spec)}, id AS point_id, other AS neighbor_id, distance, place FROM f "
+        f"WHERE place <= {p.min_pts}"
+    )
+
+
 def _accuracy() -> str:
     p, spec = inp.EVENTS_3D, inp.EVENT_WINDOW
     return (
@@ -368,6 +440,8 @@ def build() -> dict[str, str]:
         "outliers_lsh_shared_candidates": _lsh_near(p2, THREE_TABLES, False, True),
         "outliers_lsh_local": _lsh_near(p2, THREE_TABLES, True, False),
         "outliers_lsh_local_candidates": _lsh_near(p2, THREE_TABLES, False, False),
+        "outliers_lsh_probed": _lsh_probed(),
+        "knn_lsh": _knn_lsh(),
         "accuracy": _accuracy(),
         "outliers_stream": _exact(_events(2), p2, ev, closed),
         "outliers_stream_joined": _exact(_events(2), p2, ev, closed),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from farpoint.functions import grid
 from farpoint.operators import accuracy, cells, neighbors, windows
 from farpoint.params import GridParams, LshParams, QueryMode, WindowSpec
-from farpoint.plans import approximate, exact
+from farpoint.plans import approximate, exact, probing
 from farpoint.plans.tables import shared_folder
 from farpoint.sources import points as src
 from farpoint.sources import sinks
@@ -254,6 +254,21 @@ def _hashed(detect: Callable, params: GridParams, lsh: LshParams, verify: bool)
     return run
 
 
+PROBED = LshParams(num_tables=1, probes=8)
+PROBED_TABLES = LshParams(num_tables=2, probes=12)
+
+
+def outliers_lsh_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(probing.detect_probed(inp.events(spark, sf_dir, 3), inp.EVENTS_3D, inp.EVENT_WINDOW, lsh=PROBED))
+
+
+def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = inp.events(spark, sf_dir, 3)
+    found = exact.detect_outliers(points, inp.EVENTS_3D, inp.EVENT_WINDOW, staged=True)
+    near = probing.nearest_probed(points, found, inp.EVENTS_3D, inp.EVENT_WINDOW, PROBED_TABLES, within=inp.EVENTS_3D.radius)
+    return near.select(_start_ms(inp.EVENT_WINDOW), "point_id", "neighbor_id", "distance", "place")
+
+
 def accuracy_of_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = inp.events(spark, sf_dir, 3)
     truth = exact.detect_outliers(points, inp.EVENTS_3D, inp.EVENT_WINDOW, staged=True)
@@ -370,6 +385,8 @@ QUERIES: dict[str, Query] = {
     "outliers_lsh_local_candidates": _hashed(
         approximate.detect_lsh_local, inp.EVENTS_2D, THREE_TABLES, False
     ),
+    "outliers_lsh_probed": outliers_lsh_probed,
+    "knn_lsh": knn_lsh,
     "accuracy": accuracy_of_lsh,
     "outliers_stream": outliers_stream,
     "outliers_stream_joined": outliers_stream_joined,
