@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def line_of(coords: str = "coords") -> Column:
+    """``[x, y, z]``, as ``value``."""
+    text = F.array_join(F.transform(coords, lambda v: v.cast("string")), ", ", "null")
+    return F.concat(F.lit("["), text, F.lit("]")).alias("value")
+
+
 def render_points(points: DataFrame, coords: str = "coords") -> DataFrame:
     """One ``[x, y, z]`` line per point, as ``value``."""
-    text = F.array_join(F.transform(coords, lambda v: v.cast("string")), ", ", "null")
-    return points.select(F.concat(F.lit("["), text, F.lit("]")).alias("value"))
+    return points.select(line_of(coords))
 
 
 def with_coords(outliers: DataFrame, points: DataFrame) -> DataFrame:

@@ -40,10 +40,14 @@ def _distance(params: GridParams) -> Column:
 
 
 def stream_outliers_joined(
-    points: DataFrame, params: GridParams, spec: WindowSpec, delay: timedelta = timedelta(milliseconds=500)
+    points: DataFrame,
+    params: GridParams,
+    spec: WindowSpec,
+    delay: timedelta = timedelta(milliseconds=500),
+    keep_coords: bool = False,
 ) -> DataFrame:
-    """Outliers of a stream: ``(window_start, window_end, point_id)``, each window once, when the
-    watermark passes its end. Write it in append mode.
+    """Outliers of a stream: ``(window_start, window_end, point_id)`` and, if asked for, their
+    ``coords``; each window once, when the watermark passes its end. Write it in append mode.
 
     A point without ``min_pts`` others within the radius is an outlier; one whose coordinates are
     not all finite is near no other, and is no neighbour of itself either.
@@ -68,9 +72,19 @@ def stream_outliers_joined(
     pairs = asked.join(others, ["window", *names])
     same = F.col("point_id") == F.col("other_id")  # keeps points that have no other at all
     close = F.col("finite") & (_distance(params) <= F.lit(params.radius))
-    counts = pairs.where(same | close).groupBy("window", "point_id").agg(F.sum(F.when(same, 0).otherwise(1)).alias("n"))
-    found = counts.where(F.col("n") < params.min_pts)
-    return found.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "point_id")
+    kept = [F.any_value("own").alias("coords")] if keep_coords else []
+    near = F.sum(F.when(same, 0).otherwise(1)).alias("n")
+    found = pairs.where(same | close).groupBy("window", "point_id").agg(near, *kept).where(F.col("n") < params.min_pts)
+    bounds = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
+    return found.select(*bounds, "point_id", *(["coords"] if keep_coords else []))
+
+
+def stream_window_sizes(points: DataFrame, spec: WindowSpec, delay: timedelta = timedelta(milliseconds=500)) -> DataFrame:
+    """Points per window, each window once: ``(window_start, window_end, n)``."""
+    size, slide = (f"{us} microseconds" for us in (spec.size_us, spec.slide_us))
+    counts = points.withWatermark("arrival", f"{round(delay.total_seconds() * 1000)} milliseconds")
+    counts = counts.groupBy(F.window("arrival", size, slide).alias("window")).agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
 
 
 def _around(dims: int) -> list[tuple[int, ...]]:

@@ -450,5 +450,17 @@ def build() -> dict[str, str]:
             f"(SELECT max(us) - {delay} FROM p)"
         ),
         "cell_updates_stream": f"{_updates()} AND {_tick_end('moment')} <= (SELECT max(us) - {delay} FROM p)",
+        "window_metrics": (
+            f"WITH {_outliers(_events(2), p2, ev)}, z AS (SELECT win, count(*) AS n FROM w GROUP BY win), m AS (SELECT z.win, "
+            "any_value(z.n) AS n_points, count(o.id) AS n_outliers FROM z LEFT JOIN o ON z.win = o.win GROUP BY z.win), "
+            "t AS (SELECT *, row_number() OVER (ORDER BY win) AS n_windows, CAST(sum(n_outliers) OVER (ORDER BY win) AS BIGINT) "
+            f"AS total_outliers FROM m WHERE {closed}) SELECT {_start(ev)}, n_points, n_outliers, n_windows, total_outliers, "
+            "CAST(total_outliers AS DOUBLE) / n_windows AS mean_outliers FROM t"
+        ),
+        "text_stream_points": f"SELECT {line_xs}, CAST(1 AS BIGINT) AS copies, TRUE AS stamped FROM lineitem",
+        "text_stream_outliers": (
+            f"WITH {_outliers(_events(2), p2, ev)} SELECT {_end(ev, 'o.win')}, {text} FROM o JOIN p ON o.id = p.id "
+            f"WHERE {closed.replace('win', 'o.win', 1)}"
+        ),
         "cell_counts_stream": f"{counts2} SELECT {_start(ev)}, {_cell(p2)}, n FROM c WHERE {closed}",
     }

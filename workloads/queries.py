@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
@@ -10,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farpoint.functions import grid
+from farpoint.functions.timing import arrival_us
 from farpoint.operators import accuracy, cells, neighbors, windows
 from farpoint.params import GridParams, LshParams, QueryMode, WindowSpec
 from farpoint.plans import approximate, exact, probing
 from farpoint.plans.tables import shared_folder
 from farpoint.sources import points as src
-from farpoint.sources import sinks
-from farpoint.streaming import joined, state
+from farpoint.sources import sinks, text_stream
+from farpoint.streaming import joined, metrics, state
 from farpoint.streaming import outliers as streaming
 from farpoint.streaming.state import state_on_disk
 from workloads import inputs as inp
@@ -338,6 +340,51 @@ def cell_updates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_to_end(changes).select(_cell(), F.col("at").alias("at_us"), F.col("count").alias("cell_count"))
 
 
+def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _run_to_end(joined.stream_window_sizes(_event_stream(spark, sf_dir), inp.EVENT_WINDOW, inp.STREAM_DELAY))
+    stream = joined.stream_outliers_joined(_event_stream(spark, sf_dir), inp.EVENTS_2D, inp.EVENT_WINDOW, inp.STREAM_DELAY)
+    table = metrics.window_metrics(sizes, _run_to_end(stream))
+    return table.select(_ms("window_start"), "n_points", "n_outliers", "n_windows", "total_outliers", "mean_outliers")
+
+
+def _text_slices(spark: SparkSession, table: DataFrame, by: str, value: Column) -> str:
+    """A folder of text files, written slice by slice along a column."""
+    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    first, last = table.agg(F.min(by), F.max(by)).first()
+    number = F.lit(0)
+    for i in range(1, inp.STREAM_BATCHES if first is not None else 1):
+        number = number + (F.col(by) >= F.lit(first + (last - first) * i / inp.STREAM_BATCHES)).cast("int")
+    for i in range(inp.STREAM_BATCHES):
+        table.where(number == i).repartition(inp.STREAM_FILES).select(value).write.mode("append").text(folder)
+    return folder
+
+
+def text_stream_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as points of a stream: coordinates, how often an id is given, and whether the
+    arrival is one of today's files."""
+    lines = inp.table(spark, sf_dir, "lineitem")
+    value = F.concat_ws(",", "l_quantity", "l_extendedprice", "l_discount")
+    began = F.timestamp_micros(F.lit(int(time.time() * 1_000_000) - 60_000_000))
+    folder = _text_slices(spark, lines, "l_orderkey", value)
+    points = _run_to_end(text_stream.stream_text_points(spark, folder, 3, files_per_batch=inp.STREAM_FILES))
+    copies = points.groupBy("point_id").agg(F.count("*").alias("copies"))
+    rows = points.join(copies.hint("merge"), "point_id")
+    return _coord_columns(rows, "copies", (F.col("arrival") >= began).alias("stamped"))
+
+
+def text_stream_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = inp.table(spark, sf_dir, "events")
+    us = arrival_us(table, "ts")
+    folder = _text_slices(spark, table, "ts", F.concat_ws(",", us, *inp.event_coords(2)))
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    with state_on_disk(spark):
+        text_stream.detect_text_stream(
+            spark, folder, f"{root}/text", f"{root}/checkpoint", inp.EVENTS_2D, inp.EVENT_WINDOW, 0, inp.STREAM_DELAY, True,
+            inp.STREAM_FILES,
+        ).awaitTermination()
+    return text_stream.read_outlier_text(spark, f"{root}/text")
+
+
 QUERIES: dict[str, Query] = {
     "outliers_exact": _exact(QueryMode.ALL),
     "outliers_exact_fine": _exact(QueryMode.ALL, inp.EVENT_FINE_WINDOW),
@@ -393,4 +440,7 @@ QUERIES: dict[str, Query] = {
     "cell_counts_stream": cell_counts_stream,
     "cell_running_count_stream": cell_running_count_stream,
     "cell_updates_stream": cell_updates_stream,
+    "window_metrics": window_metrics,
+    "text_stream_points": text_stream_points,
+    "text_stream_outliers": text_stream_outliers,
 }
