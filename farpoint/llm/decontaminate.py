@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.steps import BLANKS, written
+from farpoint.llm.steps import BLANKS, fresh, written
 
 # The word places each mask compares. Together they hit every run of 16 words in
 # which at most 3 differ.
@@ -126,5 +126,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", params: DecontaminationParams | None = None) -> DataFrame:
     """The rows of ``df`` that overlap no benchmark item."""
     found = written(overlaps(df, benchmark, text_col=text_col, params=params).select("row").distinct())
-    marked = df.withColumn("_row", text_hash(F.col(text_col)))
-    return marked.join(found.withColumnRenamed("row", "_row"), "_row", "left_anti").drop("_row")
+    (row,) = fresh(df, "_row")
+    marked = df.withColumn(row, text_hash(F.col(text_col)))
+    return marked.join(found.withColumnRenamed("row", row), row, "left_anti").drop(row)

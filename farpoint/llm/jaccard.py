@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farpoint.llm.steps import bitmap_of, in_bitmap, min_links, written
+from farpoint.llm.steps import bitmap_of, fresh, in_bitmap, min_links, shuffled, written
 from farpoint.llm.words import Slice, grams, mix, slices
 
 
@@ -84,8 +84,13 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _body(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _signatures(texts: DataFrame, p: JaccardParams) -> DataFrame:
-    """Per text its class and size; and how many texts hold shingles of each bucket."""
+    """Per text its class and size and a hash of the text itself; and how many texts hold
+    shingles of each bucket."""
 
     def run(batches):
         counts = np.zeros(1 << p.bucket_bits, np.int64)
@@ -98,17 +103,17 @@ def _signatures(texts: DataFrame, p: JaccardParams) -> DataFrame:
                 counts += np.bincount((sets >> np.uint64(64 - p.bucket_bits)).astype(np.int64), minlength=len(counts))
             m = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), _signed(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
-                names=["doc_id", "cls", "n", "bucket", "texts"],
+                [b.column(0), b.column(2), _signed(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
+                names=["doc_id", "body", "cls", "n", "bucket", "texts"],
             )
         (used,) = np.nonzero(counts)
         m = len(used)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(used.astype(np.int32)), pa.array(counts[used])],
-            names=["doc_id", "cls", "n", "bucket", "texts"],
+            [*[pa.nulls(m, pa.int64())] * 4, pa.array(used.astype(np.int32)), pa.array(counts[used])],
+            names=["doc_id", "body", "cls", "n", "bucket", "texts"],
         )
 
-    return texts.mapInArrow(run, "doc_id long, cls long, n long, bucket int, texts long")
+    return texts.withColumn("body", _body(F.col("text"))).mapInArrow(run, "doc_id long, body long, cls long, n long, bucket int, texts long")
 
 
 def _frequencies(signatures: DataFrame, p: JaccardParams) -> np.ndarray:
@@ -322,42 +327,46 @@ def _cross_count(rows: DataFrame) -> tuple[int, float]:
     return found[0] or 0, (found[1] or 0) / 2
 
 
-def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: JaccardParams | None = None
-) -> DataFrame:
-    """Groups of texts linked by near duplicates.
-
-    Returns one row per input row: ``doc_id``, ``n_shingles`` (size of its set) and
-    ``component_id``, the smallest id reachable by links. A null or wordless text has an empty
-    set and is linked with nothing; fewer words than a shingle has are one shingle. A row
-    whose id is null joins its group and never names it; repeated rows and equal texts are
-    one class. Other columns are ignored, an empty table gives an empty result.
-    """
-    p = params or JaccardParams()
+def _grouped(df: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> DataFrame:
+    """``doc_id, body, cls, n, root`` of every row; rows with one ``root`` are linked."""
     texts = _texts(df, id_col, text_col)
     signatures = written(_signatures(texts, p))
-    members = signatures.where("n is not null").select("doc_id", "cls", "n")
+    members = signatures.where("n is not null").select("doc_id", "body", "cls", "n")
     frequency = _frequencies(signatures, p)
     rows = _prefixes(texts, frequency, p)
-    seen = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    # the first pass carries the shingle alone: most are in one text, and go here
+    seen = rows.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
     rows = rows.join(seen.select("token"), "token", "left_semi")
     rows = written(rows.groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in CLASS if c not in ("cls", "most")]))
     rows = _useful(rows, p).withColumn("comp", F.col("cls"))
 
     links, before = None, float("inf")
-    for seed in range(p.hub_rounds):
+    for seed in range(p.hub_rounds):  # at least one at every size
+        found = written(_verified(texts, written(_best_hubs(rows, seed, p)), p))
+        links = found if links is None else links.unionAll(found)
+        rows = _with_components(rows, min_links(links), p)
         n, cross = _cross_count(rows)
         if cross <= p.pairs_per_row * n or cross > 0.9 * before:
             break
         before = cross
-        found = written(_verified(texts, written(_best_hubs(rows, seed, p)), p))
-        links = found if links is None else links.unionAll(found)
-        rows = _with_components(rows, min_links(links), p)
     found = written(_verified(texts, written(_cross_pairs(rows, p)), p))
     roots = min_links(found if links is None else links.unionAll(found))
-
     classes = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "cls"))
+    return classes.withColumn("root", F.coalesce("root", "cls"))
+
+
+def jaccard_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: JaccardParams | None = None
+) -> DataFrame:
+    """Groups of texts linked by near duplicates.
+
+    Returns one row per input row: ``doc_id``, ``n_shingles`` (size of its set) and
+    ``component_id``, the smallest id reachable by links. A null or wordless text has an empty
+    set and is linked with nothing; fewer words than a shingle has are one shingle. A row
+    whose id is null joins its group and never names it; repeated rows and equal texts are
+    one class. Other columns are ignored, an empty table gives an empty result.
+    """
+    classes = _grouped(df, id_col, text_col, params or JaccardParams())
     smallest = classes.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = classes.join(smallest, "root", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -365,11 +374,28 @@ def jaccard_components(
 
 
 def keep_one_each(df: DataFrame, params: JaccardParams | None = None) -> DataFrame:
-    """The rows of ``df`` whose ``doc_id`` names its group: one document of each stays.
+    """One row of each group of linked rows of ``df``: the one with the smallest ``doc_id``, null
+    last, and among rows of that id the text with the smallest hash.
 
-    Repeated rows of that id all stay only if their texts differ; rows without an id have
-    no group of their own and stay if nothing else is linked with them.
+    A row that is linked with nothing stays, also if another row has its id; so do all rows
+    without a word. Of rows alike in id and text one stays.
     """
-    groups = jaccard_components(df, params=params)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti")
+    last = F.lit(2**63 - 1)
+    classes = _grouped(df, "doc_id", "text", params or JaccardParams()).where("n > 0")
+    key = F.struct(F.coalesce("doc_id", last).alias("doc"), "body")
+    classes = written(classes.groupBy("root", key.alias("key")).agg(F.count("*").alias("rows")))
+    first = classes.groupBy("root").agg(F.min("key").alias("first"))
+    # of a group all keys but one go: the group itself is never gathered
+    marks = classes.join(shuffled(first), "root").select("key", "rows", (F.col("key") == F.col("first")).alias("stays"))
+    doc, body, stays, rows = fresh(df, "_doc", "_body", "_stays", "_rows")
+    marks = marks.where(~F.col("stays") | (F.col("rows") > 1))
+    marks = written(marks.select(F.col("key.doc").alias(doc), F.col("key.body").alias(body), F.col("stays").alias(stays)))
+    keyed = df.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), last), body: _body(F.col("text"))})
+    marked = keyed.join(shuffled(marks), [doc, body], "left")
+    out = marked.where(F.col(stays).isNull()).select(*df.columns)
+    repeated = marks.where(stays)
+    if repeated.isEmpty():
+        return out
+    again = keyed.join(shuffled(repeated), [doc, body], "left_semi")
+    one = again.groupBy(doc, body).agg(F.first(F.struct(*df.columns)).alias(rows))
+    return out.unionByName(one.select(f"{rows}.*").select(*df.columns))

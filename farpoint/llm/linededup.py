@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm.steps import BLANKS, written
+from farpoint.llm.steps import BLANKS, fresh, written
 from farpoint.plans.tables import shared_folder
 
 # The letters a key folds.
@@ -126,16 +126,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         gone = own.join(new.select("a", "b", "doc").hint("merge"), ["a", "b", "doc"], "left_anti")
         dropped = gone if dropped is None else dropped.unionAll(gone)
     # a document's list is no longer than the document
-    lists = written(dropped.groupBy("doc", "row").agg(F.collect_set("pos").alias("_gone")))
+    doc_name, row_name, gone_name, lines_name = fresh(df, "_doc", "_row", "_gone", "_lines")
+    lists = dropped.groupBy("doc", "row").agg(F.collect_set("pos").alias(gone_name))
+    lists = written(lists.withColumnsRenamed({"doc": doc_name, "row": row_name}))
     runs.forget()
 
-    on = [F.col("_doc") == lists["doc"], F.col("_row") == lists["row"]]
-    out = df.withColumns({"_doc": doc, "_row": row}).join(lists, on, "left").drop(lists["doc"], lists["row"], "_doc", "_row")
-    out = out.withColumn("_lines", F.split(text, "\n", -1))
-    n = F.size("_lines").cast("bigint")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
-    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    out = df.withColumns({doc_name: doc, row_name: row}).join(lists, [doc_name, row_name], "left").drop(doc_name, row_name)
+    out = out.withColumn(lines_name, F.split(text, "\n", -1))
+    n = F.size(lines_name).cast("bigint")
+    gone = F.coalesce(gone_name, F.array().cast("array<int>"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_name) - 1), gone)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines_name, i)), "\n")
     return out.withColumns(
-        {"n_lines": n, "n_dropped": F.size(gone).cast("bigint"), "kept_text": F.when(F.col("_gone").isNull(), text).otherwise(kept)}
-    ).drop("_gone", "_lines")
+        {"n_lines": n, "n_dropped": F.size(gone).cast("bigint"), "kept_text": F.when(F.col(gone_name).isNull(), text).otherwise(kept)}
+    ).drop(gone_name, lines_name)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.steps import BLANKS, written
+from farpoint.llm.steps import BLANKS, fresh, shuffled, written
 
 
 @dataclass(frozen=True)
@@ -121,9 +121,11 @@ def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", p
     texts = _texts(df, text_col, host_col)
     failed = written(base_counts(texts, p).select("row", _base_failed(p).alias("failed"))).where("failed").select("row")
     poor = _shares(texts, p).where(F.col("left") < p.left_percent).select("row")
-    gone = written(failed.unionAll(poor).distinct()).withColumnRenamed("row", "_row")
+    (row,) = fresh(df, "_row")
+    gone = written(failed.unionAll(poor).distinct()).withColumnRenamed("row", row)
     text, host = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, host_col))
-    return df.withColumn("_row", _row_hash(text, host)).join(gone, "_row", "left_anti").drop("_row")
+    # rejected texts grow with the corpus: one plan at every size, and no broadcast
+    return df.withColumn(row, _row_hash(text, host)).join(shuffled(gone), row, "left_anti").drop(row)
 
 
 def _row_hash(text: Column, host: Column) -> Column:

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.plans.tables import written
+from farpoint.plans.tables import shuffled, written
 
-__all__ = ["BLANKS", "bitmap_of", "in_bitmap", "min_links", "read_table", "written"]
+__all__ = ["BLANKS", "bitmap_of", "fresh", "in_bitmap", "min_links", "read_table", "shuffled", "written"]
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,6 +19,18 @@ def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bitmap_of(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """Membership filter of fixed size (``2**bits`` bits) over a column of 64 bit hashes.
 

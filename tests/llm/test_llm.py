@@ -318,3 +318,27 @@ def test_model_is_normalised():
 def test_digest_of_query_columns(docs):
     r = docs.select(F.sha2(F.array_join(F.array(F.lit("1"), F.lit("2")), " "), 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"1 2").hexdigest()
+
+
+def test_one_of_each_group_stays_and_nothing_else_goes(spark, rows, docs):
+    """Ids that several texts share, exact repeats, and columns named as the helpers'."""
+    long = [" ".join(f"{name}{i}" for i in range(60)) for name in "abc"]
+    near = long[0] + " more"
+    made = [(1, long[0]), (2, near), (2, long[1]), (3, long[2]), (3, long[2]), (None, long[1] + " too"), (4, ""), (4, ""), (None, "x y")]
+    df = spark.createDataFrame([(i, t, 1, "b", "r", 7) for i, t in made], "doc_id long, text string, _doc int, _body string, _stays string, _rows int")
+    got = jaccard.keep_one_each(df)
+    assert got.columns == df.columns
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    assert left == Counter([(1, long[0]), (2, long[1]), (3, long[2]), (4, ""), (4, ""), (None, "x y")])
+    kept = jaccard.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    groups = {r.component_id for r in jaccard.jaccard_components(docs).where("n_shingles > 0").collect()}
+    assert kept.where("text is not null").collect() and groups <= {r.doc_id for r in kept.collect()}
+
+
+def test_filters_keep_columns_of_any_name(spark, empty):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "h", 5, 6, 7, 8, 9)], "doc_id long, text string, source string, _row int, _doc int, _lines int, _gone int, _ROW_ int")
+    benchmark = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    for out in (quality.keep_good(df), decontaminate.clean_rows(df, benchmark), linededup.dedup_lines(df).drop("n_lines", "n_dropped", "kept_text")):
+        assert out.columns == df.columns and out.collect() == df.collect()
