@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,16 +70,20 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            end = self.used + len(ids)
-            if end > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
-            self.pool[self.used : end] = ids
-            self.slot[h] = len(self.at)
-            self.at.append(self.used)
-            self.len.append(len(ids))
-            self.used = end
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        end = self.used + int(sizes.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), end - self.used), np.int32)])
+        self.pool[self.used : end] = np.fromiter(chain.from_iterable(found), np.int32, end - self.used)
+        self.slot.update(zip(hashes, range(len(self.at), len(self.at) + len(found)), strict=True))
+        self.at += (self.used + np.cumsum(sizes) - sizes).tolist()
+        self.len += sizes.tolist()
+        self.used = end
+
+    def known(self, word: int) -> list[int]:
+        i = self.slot[word]
+        return self.pool[self.at[i] : self.at[i] + self.len[i]].tolist()
 
     def pieces(self, s: Slice, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and length in the pool of the ids of each piece; new ones are encoded."""
@@ -96,13 +101,30 @@ class Encoder:
         length = np.array([self.len[i] for i in slots], np.int64)
         return at[back], length[back]
 
-    def agree(self, left: str, right: str, key: int) -> bool:
-        """Whether two words encoded together give what they give one by one."""
-        if key not in self.joins:
-            if len(self.joins) > self.p.cached_words:
-                self.joins.clear()
-            self.joins[key] = self.whole(f"{left} {right}") == self.whole(left) + self.whole(right)
-        return self.joins[key]
+    def _hold(self, s: Slice, cut: Chunks, places: np.ndarray, keys: np.ndarray) -> None:
+        """Find out of each join whether its two words encoded together give what they give one
+        by one; ``places`` are the second words."""
+        if len(self.joins) > self.p.cached_words:
+            self.joins.clear()
+        keys, first = np.unique(keys, return_index=True)
+        new = [(k, int(i)) for k, i in zip(keys.tolist(), places[first], strict=True) if k not in self.joins]
+        if not new:
+            return
+        raw = s.data.tobytes()
+
+        def text(i: int) -> str:
+            return raw[cut.starts[i] : cut.ends[i]].decode("utf-8", "replace")
+
+        # words inside shared chunks have not been encoded by themselves yet
+        lone = {int(cut.word_hashes[i]): i for _, w in new for i in (w - 1, w) if int(cut.word_hashes[i]) not in self.slot}
+        if lone:
+            self._learn(list(lone), [text(i) for i in lone.values()])
+        for a in range(0, len(new), 4096):
+            part = new[a : a + 4096]
+            both = self.tokenizer.encode_batch_fast([f"{text(w - 1)} {text(w)}" for _, w in part], add_special_tokens=False)
+            for (key, w), e in zip(part, both, strict=True):
+                left, right = (int(cut.word_hashes[i]) for i in (w - 1, w))
+                self.joins[key] = e.ids == self.known(left) + self.known(right)
 
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice, and where those of each text begin."""
@@ -132,19 +154,17 @@ class Encoder:
     def _repaired(self, s: Slice, cut: Chunks, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hold the words on both sides of every chunk join against their joint encoding; a
         text with a join that does not agree is encoded again as a whole."""
-        raw, wrong = None, set()
+        wrong = set()
         inner = cut.first[1:-1]  # first word of every chunk but the first
         inner = inner[~np.isin(inner, cut.text_first)]
-        keys = mix(cut.word_hashes[inner - 1] * np.uint64(3) + cut.word_hashes[inner]).tolist() if len(inner) else []
-        for key, w in zip(keys, inner.tolist(), strict=True):
-            if self.joins.get(key):
-                continue
-            raw = s.data.tobytes() if raw is None else raw
-            left, right = (raw[cut.starts[i] : cut.ends[i]].decode("utf-8", "replace") for i in (w - 1, w))
-            if not self.agree(left, right, key):
-                wrong.add(int(np.searchsorted(cut.text_first, w, "right")) - 1)
+        if len(inner):
+            keys = mix(cut.word_hashes[inner - 1] * np.uint64(3) + cut.word_hashes[inner])
+            self._hold(s, cut, inner, keys)
+            bad = inner[[not self.joins[k] for k in keys.tolist()]]
+            wrong = set((np.searchsorted(cut.text_first, bad, "right") - 1).tolist())
         at = np.concatenate([[0], np.cumsum(sizes)])
         if wrong:
+            raw = s.data.tobytes()
             parts = [ids[at[r] : at[r + 1]] for r in range(s.rows)]
             for r in wrong:
                 parts[r] = np.array(self.whole(raw[s.offsets[r] : s.offsets[r + 1]].decode("utf-8", "replace")), np.int32)

@@ -342,3 +342,21 @@ def test_filters_keep_columns_of_any_name(spark, empty):
     benchmark = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
     for out in (quality.keep_good(df), decontaminate.clean_rows(df, benchmark), linededup.dedup_lines(df).drop("n_lines", "n_dropped", "kept_text")):
         assert out.columns == df.columns and out.collect() == df.collect()
+
+
+def test_joins_that_disagree_are_encoded_as_a_whole(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from farpoint.llm.words import slices
+
+    p = bpe.BpeParams(str(public_tokenizers.path("word_bpe_49k.json")), mean_words=2)
+    text = " ".join(f"word{i % 7} of{i % 5}" for i in range(200))
+    enc, wholes = bpe.Encoder(p, []), []
+    monkeypatch.setattr(enc, "_hold", lambda s, cut, places, keys: enc.joins.update((k, False) for k in keys.tolist()))
+    whole = enc.whole
+    monkeypatch.setattr(enc, "whole", lambda t: wholes.append(t) or whole(t))
+    (s,) = slices(pa.array([text, "one", None]))
+    ids, at = enc.encode(s)
+    assert wholes == [text]  # the one text with joins
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole(text), whole("one"), []]
