@@ -80,6 +80,26 @@ def panes_of_window(win: Column, spec: WindowSpec | None) -> Column:
     return F.sequence(start, start + (spec.panes_per_window - 1))
 
 
+def unit_of(us: Column, spec: WindowSpec | None) -> Column:
+    """Number of the slide that holds the instant."""
+    return last_window(us, spec)
+
+
+def units_of_window(win: Column, spec: WindowSpec | None) -> Column:
+    """Array of the slides that a window overlaps: few, however short the panes are. An instant
+    of the last of them may lie beyond the window."""
+    if spec is None:
+        return F.array(F.lit(0).cast("bigint"))
+    return F.sequence(win, win + (-(-spec.size_us // spec.slide_us) - 1))
+
+
+def holds(win: Column, us: Column, spec: WindowSpec | None) -> Column:
+    """Whether the instant lies in the window."""
+    if spec is None:
+        return F.lit(True)
+    return win.between(first_window(us, spec), last_window(us, spec))
+
+
 def mode_windows(us: Column, spec: WindowSpec | None, mode: QueryMode) -> list[Column] | None:
     """The windows in which a point is asked about; ``None`` stands for all of them."""
     if mode is QueryMode.ALL or spec is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farpoint.functions import grid, timing
 from farpoint.operators.prefix import running_sum
+from farpoint.operators.sliding import window_sums
 from farpoint.params import GridParams, WindowSpec
 from farpoint.plans.tables import largest_keys, shuffled, spread_hot_keys
 
@@ -36,12 +37,7 @@ def pane_counts(points: DataFrame, params: GridParams, spec: WindowSpec | None)
 
 def cell_counts(points: DataFrame, params: GridParams, spec: WindowSpec | None) -> DataFrame:
     """Points per window and cell, summed from the panes the windows share."""
-    return (
-        pane_counts(points, params, spec)
-        .select(F.explode(timing.windows_of_pane(F.col("pane"), spec)).alias("win"), "cell", "n")
-        .groupBy("win", "cell")
-        .agg(F.sum("n").alias("n"))
-    )
+    return window_sums(pane_counts(points, params, spec), ["cell"], spec)
 
 
 def points_of_cells(
@@ -62,16 +58,20 @@ def points_of_cells(
     us = timing.arrival_us(points, "arrival") if spec else F.lit(0).cast("bigint")
     own = [c for c in keep if c in points.columns]
     theirs = [c for c in keep if c not in points.columns]
-    placed = assign_cells(points, params).select("point_id", "cell", timing.pane_of(us, spec).alias("pane"), *own)
-    asked = cells.select("win", "cell", *theirs, F.explode(timing.panes_of_window(F.col("win"), spec)).alias("pane"))
-    key = ["pane", "cell"]
-    sizes = pane_counts(points, params, spec)
+    placed = assign_cells(points, params).withColumn("_us", us)
+    if crowded_from is not None:
+        pane = timing.pane_of(F.col("_us"), spec).alias("pane")
+        crowded = largest_keys(pane_counts(points, params, spec), ["pane", "cell"], F.col("n") >= crowded_from).drop("n")
+        placed = placed.select("*", pane).join(F.broadcast(crowded), ["pane", "cell"], "left_anti")
+    # met by slide, not by pane: a window of many short panes is few slides
+    placed = placed.select("point_id", "cell", timing.unit_of(F.col("_us"), spec).alias("unit"), "_us", *own)
+    asked = cells.select("win", "cell", *theirs, F.explode(timing.units_of_window(F.col("win"), spec)).alias("unit"))
+    key = ["unit", "cell"]
     if crowded_from is None:
+        sizes = placed.groupBy(*key).agg(F.count("*").alias("n"))
         asked, placed, key = spread_hot_keys(asked, placed, key, sizes, ["point_id"])
-    else:
-        crowded = largest_keys(sizes, key, F.col("n") >= crowded_from).drop("n")
-        placed = placed.join(F.broadcast(crowded), key, "left_anti")
-    return placed.join(shuffled(asked), key).select("win", "point_id", "cell", *keep)
+    met = placed.join(shuffled(asked), key).where(timing.holds(F.col("win"), F.col("_us"), spec))
+    return met.select("win", "point_id", "cell", *keep)
 
 
 def dense_prune(points: DataFrame, params: GridParams, spec: WindowSpec | None, count_self: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sliding windows over points, and the choice of points a window asks about."""
+"""Sliding windows over points."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farpoint.functions import timing
-from farpoint.params import QueryMode, WindowSpec
+from farpoint.operators.sliding import window_sums
+from farpoint.params import WindowSpec
 
 
 def assign_windows(points: DataFrame, spec: WindowSpec | None) -> DataFrame:
@@ -22,26 +23,8 @@ def with_bounds(df: DataFrame, spec: WindowSpec | None) -> DataFrame:
     return df.select(*timing.window_bounds(F.col("win"), spec), *rest)
 
 
-def select_queried(points: DataFrame, spec: WindowSpec, mode: QueryMode | str) -> DataFrame:
-    """Point-window rows a query mode asks about.
-
-    Newest and expiring ask about each point once, middle-expiring twice, all in every
-    window. The windows follow from the arrival, so nothing is exploded and filtered again.
-    """
-    mode = QueryMode(mode)
-    asked = timing.mode_windows(F.col("us"), spec, mode)
-    if asked is None:
-        return assign_windows(points, spec)
-    wins = F.array_distinct(F.array(*asked))
-    return points.withColumn("us", timing.arrival_us(points, "arrival")).withColumn("win", F.explode(wins))
-
-
 def window_sizes(points: DataFrame, spec: WindowSpec | None) -> DataFrame:
     """Number of points per window, from counts per pane."""
     us = timing.arrival_us(points, "arrival") if spec else F.lit(0).cast("bigint")
     panes = points.select(timing.pane_of(us, spec).alias("pane")).groupBy("pane").agg(F.count("*").alias("n"))
-    return (
-        panes.select(F.explode(timing.windows_of_pane(F.col("pane"), spec)).alias("win"), "n")
-        .groupBy("win")
-        .agg(F.sum("n").alias("n"))
-    )
+    return window_sums(panes, [], spec)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from farpoint.functions import blocks, grid, timing
 from farpoint.functions import distance as dist
+from farpoint.operators.sliding import interval_sums, window_sums, windows_in_run
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans.tables import largest_keys, shuffled, spread_hot_keys, written
 
@@ -207,19 +208,17 @@ def _near_sums(per_window: DataFrame, lay: Layout) -> DataFrame:
 
 
 def _open_cells(boxes: DataFrame, lay: Layout) -> DataFrame:
-    """Cells per pane with the range of windows their counts leave open."""
+    """Cells per slide with the range of windows their counts leave open."""
     cells = lay.cell_key
-    windowed = boxes.select("pane", *lay.cell_columns(), "n").select(
-        F.explode(timing.windows_of_pane(F.col("pane"), lay.spec)).alias("win"), *cells, "n"
-    )
-    counted = _in_scope(windowed, lay).groupBy("win", *cells).agg(F.sum("n").alias("n"))
+    per_pane = boxes.select("pane", *lay.cell_columns(), "n").groupBy("pane", *cells).agg(F.sum("n").alias("n"))
+    counted = _in_scope(window_sums(per_pane, cells, lay.spec), lay)
     counted = counted.withColumn("n", F.when(lay.outermost(), F.lit(-1 << 40)).otherwise(F.col("n")))
     if lay.summed:
         counted = _near_sums(counted, lay)
     still_open = counted.where(F.col("n") - 1 < lay.grid.min_pts)
     return (
-        still_open.select(F.explode(timing.panes_of_window(F.col("win"), lay.spec)).alias("pane"), *cells, "win")
-        .groupBy("pane", *cells)
+        still_open.select(F.explode(timing.units_of_window(F.col("win"), lay.spec)).alias("unit"), *cells, "win")
+        .groupBy("unit", *cells)
         .agg(F.min("win").alias("wmin"), F.max("win").alias("wmax"))
     )
 
@@ -231,10 +230,16 @@ def _suspects(flat: DataFrame, boxes: DataFrame, lay: Layout, mode: QueryMode) -
     tile = ["pane", *lay.tile_key]
     tiles = _placed(boxes, lay).where(~lay.outermost(tile=True)).groupBy(*tile).agg(F.sum("n").alias("n"))
     crowded = largest_keys(tiles, tile, F.col("n") - 1 >= lay.grid.min_pts).drop("n")
+    # a slide may reach beyond the first windows that overlap it
+    first, last = (f(F.col("us"), lay.spec) for f in (timing.first_window, timing.last_window))
+    clamped = {"wmin": F.greatest("wmin", first), "wmax": F.least("wmax", last)}
     found = (
         _placed(flat, lay)
         .join(F.broadcast(crowded), tile, "left_anti")
-        .join(shuffled(_open_cells(boxes, lay)), ["pane", *lay.cell_key])
+        .withColumn("unit", timing.unit_of(F.col("us"), lay.spec))
+        .join(shuffled(_open_cells(boxes, lay)), ["unit", *lay.cell_key])
+        .withColumns(clamped)
+        .where("wmin <= wmax")
         .select("point_id", "us", *lay.xs, "wmin", "wmax")
     )
     if lay.gridded:  # cheaper to compute again than to shuffle
@@ -273,11 +278,8 @@ def _per_window(counts: DataFrame, lay: Layout, sums: list[str], keep: list[str]
     """Sums per point and pane -> sums per point and window."""
     first = F.greatest("wmin", timing.first_window_of_pane(F.col("pane"), lay.spec))
     last = F.least("wmax", timing.last_window_of_pane(F.col("pane"), lay.spec))
-    return (
-        counts.select("point_id", F.explode(F.sequence(first, last)).alias("win"), *sums, *keep)
-        .groupBy("point_id", "win")
-        .agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in keep])
-    )
+    # what is kept is the same in all rows of a point
+    return interval_sums(counts, ["point_id", *keep], first, last, sums, windows_in_run(lay.spec))
 
 
 def _block_sizes(rows: DataFrame, lay: Layout) -> DataFrame:

@@ -12,6 +12,8 @@ from farpoint.sources.points import points_from_columns, row_index
 
 EVENT_WINDOW = WindowSpec(timedelta(days=4), timedelta(days=2))
 EVENT_FINE_WINDOW = WindowSpec(timedelta(days=5), timedelta(days=1))
+EVENT_MANY_WINDOW = WindowSpec(timedelta(days=4), timedelta(days=4) / 200)  # a window is 200 slides
+EVENT_ODD_WINDOW = WindowSpec(timedelta(days=4), timedelta(days=2, milliseconds=1))  # panes of 1 ms
 SHIP_WINDOW = WindowSpec(timedelta(days=60), timedelta(days=30))
 
 EVENTS_3D = GridParams(radius=12.0, min_pts=10, dims=3)

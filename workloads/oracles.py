@@ -329,7 +329,7 @@ def _accuracy() -> str:
 
 
 def build() -> dict[str, str]:
-    ev, fine = inp.EVENT_WINDOW, inp.EVENT_FINE_WINDOW
+    ev, fine, many = inp.EVENT_WINDOW, inp.EVENT_FINE_WINDOW, inp.EVENT_MANY_WINDOW
     p1, p2, p3 = inp.EVENTS_1D, inp.EVENTS_2D, inp.EVENTS_3D
     delay = round(inp.STREAM_DELAY.total_seconds() * 1_000_000)
     closed = f"win * {ev.slide_us} + {ev.size_us} <= (SELECT max(us) - {delay} FROM p)"
@@ -417,6 +417,12 @@ def build() -> dict[str, str]:
             f"ON a.win = b.win AND {_s2(p2)} <= {9 * p2.dims} WHERE a.level1_count - 1 < {p2.min_pts} AND "
             f"a.level2_count - 1 >= {p2.min_pts}) SELECT {_start(ev)}, cell, near, {level} AS level, n FROM t"
         ),
+        "cell_counts_many": f"WITH {_celled(p1, many)} SELECT {_start(many)}, {_cell(p1)}, n FROM c",
+        "dense_prune_many": (
+            f"WITH {_celled(p1, many)} SELECT {_start(many, 'g.win')}, g.id AS point_id FROM g JOIN c ON {_on_cells('g', 'c', p1)} "
+            f"WHERE c.n - 1 < {p1.min_pts}"
+        ),
+        "outliers_odd_slide": _exact(_events(3), p3, inp.EVENT_ODD_WINDOW),
         "dense_prune": (
             f"WITH {_celled(p1, ev)} SELECT {_start(ev, 'g.win')}, g.id AS point_id FROM g JOIN c ON {_on_cells('g', 'c', p1)} "
             f"WHERE c.n - 1 < {p1.min_pts}"

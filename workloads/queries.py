@@ -120,6 +120,16 @@ def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir, inp.EVENTS_3D).select(_start_ms(inp.EVENT_WINDOW), _cell(), "n")
 
 
+def cell_counts_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = cells.cell_counts(inp.events(spark, sf_dir, 1), inp.EVENTS_1D, inp.EVENT_MANY_WINDOW)
+    return counts.select(_start_ms(inp.EVENT_MANY_WINDOW), _cell(), "n")
+
+
+def dense_prune_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cells.dense_prune(inp.events(spark, sf_dir, 1), inp.EVENTS_1D, inp.EVENT_MANY_WINDOW)
+    return rows.select(_start_ms(inp.EVENT_MANY_WINDOW), "point_id")
+
+
 def cell_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cells.running_counts(inp.events(spark, sf_dir, 1), inp.EVENTS_1D, inp.EVENT_WINDOW.size)
     return counts.select("point_id", _cell(), F.col("count").alias("cell_count"))
@@ -407,6 +417,9 @@ QUERIES: dict[str, Query] = {
     "cell_center": cell_center,
     "cell_from_center": cell_from_center,
     "cell_counts": cell_counts,
+    "cell_counts_many": cell_counts_many,
+    "dense_prune_many": dense_prune_many,
+    "outliers_odd_slide": _exact(QueryMode.ALL, inp.EVENT_ODD_WINDOW),
     "cell_running_count": cell_running_count,
     "cell_updates": cell_updates,
     "cell_latest": cell_latest,
