@@ -29,10 +29,12 @@ from farpoint.functions import blocks, grid, timing
 from farpoint.functions import distance as dist
 from farpoint.operators.sliding import interval_sums, window_sums, windows_in_run
 from farpoint.params import GridParams, QueryMode, WindowSpec
+from farpoint.plans import pivots
 from farpoint.plans.tables import largest_keys, shuffled, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
+PIVOTS = 3  # of the join blocks in many dimensions
 WIDE_LOT = 10_000  # rows of either side in one group of the wide comparison
 SLACK = 1e-7  # keeps rounding in v/side from breaking a bound of the grid
 
@@ -44,6 +46,8 @@ class Layout:
     grid: GridParams
     spec: WindowSpec | None
     only: tuple[int, int] | None = None
+    #: Points whose distances take the place of coordinates in the blocks; beyond ``GRID_DIMS``.
+    pivots: tuple[tuple[float, ...], ...] = ()
 
     @property
     def dims(self) -> int:
@@ -95,7 +99,7 @@ class Layout:
 
     @property
     def block_key(self) -> list[str]:
-        return [f"b{i}" for i in self.grid.join_dims]
+        return [f"b{i}" for i in (range(len(self.pivots)) if self.pivots else self.grid.join_dims)]
 
     @property
     def stretch(self) -> int:
@@ -111,6 +115,8 @@ class Layout:
                 timing.floor_div(F.col(f"s{i}"), self.block).alias(f"b{i}")
                 for i in self.grid.join_dims
             ]
+        if self.pivots:
+            return pivots.block_columns(self.pivots, self.grid.radius)
         wide = self.grid.radius * (1 + SLACK)
         return [grid.cell_index(F.col("coords")[i], wide).alias(f"b{i}") for i in self.grid.join_dims]
 
@@ -132,6 +138,13 @@ class Layout:
         return reduce(lambda a, b: a | b, [F.col(c).isin(ends) for c in (self.tile_key if tile else self.cell_key)])
 
 
+def layout_for(points: DataFrame, params: GridParams, spec: WindowSpec | None, only: tuple[int, int] | None = None) -> Layout:
+    """The layout of a job; in many dimensions with pivots out of a sample of its points."""
+    if params.dims <= GRID_DIMS:
+        return Layout(params, spec, only)
+    return Layout(params, spec, only, pivots.choose_pivots(points.where(finite(params.dims)), PIVOTS))
+
+
 def finite(dims: int) -> Column:
     """All coordinates are ordinary numbers; others have no distance to anything."""
     if dims <= GRID_DIMS:
@@ -434,7 +447,7 @@ def detect_outliers(
     from its first to its last value (window k starts k slides after the epoch).
     """
     mode = QueryMode(mode)
-    lay = Layout(params, spec, only)
+    lay = layout_for(points, params, spec, only)
     base = _canonical(points, spec, staged, params.dims)
     flat = _flat(base, lay)
     boxes = written(fold_boxes(flat, lay))
@@ -482,7 +495,7 @@ def settle_points(
     """Exact answer when all outliers are known to be among ``flagged``
     (``window_start, point_id``): only those are compared with the data."""
     mode = QueryMode(mode)
-    lay = Layout(params, spec)
+    lay = layout_for(points, params, spec)
     base = _canonical(points, spec, False, params.dims)
     flat = _flat(base, lay)
     boxes = written(fold_boxes(flat, lay))
@@ -509,7 +522,7 @@ def neighbor_counts(
     Whole boxes within the radius are counted without touching their points; only boxes cut
     by the sphere are opened.
     """
-    lay = Layout(params, spec)
+    lay = layout_for(points, params, spec)
     base = _canonical(points, spec, staged, params.dims)
     flat = _flat(base, lay)
     everyone = flat.withColumns(
@@ -545,7 +558,7 @@ def nearest_neighbors(
 
     Meant for outliers, which have few neighbours. Only boxes the sphere touches are opened.
     """
-    lay = Layout(params, spec)
+    lay = layout_for(points, params, spec)
     r = params.radius
     flat = _flat(_canonical(points, spec, False, params.dims), lay)
     win = (
