@@ -21,6 +21,8 @@ EVENTS_2D = GridParams(radius=4.0, min_pts=5, dims=2)
 EVENTS_1D = GridParams(radius=12.0, min_pts=5, dims=1)
 SHIPPED = GridParams(radius=4.0, min_pts=3, dims=3, sort_dim=1)
 SHIPPED_5D = GridParams(radius=8.0, min_pts=3, dims=5, sort_dim=1)
+SHIPPED_NEAR_5D = GridParams(radius=5.0, min_pts=3, dims=5, sort_dim=1)
+SHIPPED_10D = GridParams(radius=22.0, min_pts=3, dims=10, sort_dim=1)
 EMBEDDED = GridParams(radius=1.2, min_pts=5, dims=64)
 STREAM_DELAY = timedelta(hours=1)
 STREAM_BATCHES = 5  # micro-batches that a table is replayed in
@@ -47,6 +49,8 @@ def shipped(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
     numbered = row_index(lines, lines.columns)
     coords = ["l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 100]
     coords += [F.col("l_tax") * 100, F.col("l_linenumber").cast("double")]
+    coords += [F.pmod(c, F.lit(50)).cast("double") for c in ("l_orderkey", "l_partkey", "l_suppkey")]
+    coords += [F.dayofyear("l_shipdate") / F.lit(10.0), F.col("l_quantity") * F.col("l_discount")]
     return points_from_columns(numbered, "row_index", coords[:dims], "l_shipdate")
 
 

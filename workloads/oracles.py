@@ -30,7 +30,9 @@ def _shipped() -> str:
     return (
         f"p AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS id, epoch_us(l_shipdate) AS us, "
         "l_quantity AS x0, l_extendedprice / 1000 AS x1, l_discount * 100 AS x2, "
-        "l_tax * 100 AS x3, CAST(l_linenumber AS DOUBLE) AS x4 FROM lineitem)"
+        "l_tax * 100 AS x3, CAST(l_linenumber AS DOUBLE) AS x4, CAST(l_orderkey % 50 AS DOUBLE) AS x5, "
+        "CAST(l_partkey % 50 AS DOUBLE) AS x6, CAST(l_suppkey % 50 AS DOUBLE) AS x7, "
+        "dayofyear(l_shipdate) / 10.0::DOUBLE AS x8, l_quantity * l_discount AS x9 FROM lineitem)"
     )
 
 
@@ -344,7 +346,7 @@ def build() -> dict[str, str]:
     cap = f" AND abs(a.c{p3.sort_dim} - b.c{p3.sort_dim}) <= 1"
     n3 = f"{counts3}, {_reach_sums(p3, ev)}"
     n2 = f"{counts2}, {_reach_sums(p2, ev)}"
-    p5, ship = inp.SHIPPED_5D, inp.SHIP_WINDOW
+    p5, near5, ship = inp.SHIPPED_5D, inp.SHIPPED_NEAR_5D, inp.SHIP_WINDOW
     n5 = f"WITH {_celled(p5, ship, _shipped())}, {_reach_sums(p5, ship)}"
     cell = _cell(p3)
     level = f"CASE WHEN s2 <= {p2.dims} THEN 1 WHEN s2 <= {9 * p2.dims} THEN 2 ELSE 0 END"
@@ -356,6 +358,7 @@ def build() -> dict[str, str]:
         "outliers_exact": all_points,
         "outliers_exact_fine": _exact(_events(3), p3, fine),
         "outliers_shipped": _exact(_shipped(), inp.SHIPPED, inp.SHIP_WINDOW),
+        "outliers_shipped_wide": _exact(_shipped(), inp.SHIPPED_10D, inp.SHIP_WINDOW),
         "outliers_embedded": _embedded(),
         "outliers_filtered": _embedded(),
         "mode_all": all_points,
@@ -433,8 +436,8 @@ def build() -> dict[str, str]:
         ),
         "level1_count_wide": f"{n5} SELECT {_start(ship)}, {_cell(p5)}, n, level1_count FROM n",
         "definite_outliers_wide": (
-            f"{n5} SELECT {_start(ship, 'g.win')}, g.id AS point_id FROM g JOIN n ON {_on_cells('g', 'n', p5)} "
-            f"WHERE n.level2_count - 1 < {p5.min_pts}"
+            f"WITH {_celled(near5, ship, _shipped())}, {_reach_sums(near5, ship)} SELECT {_start(ship, 'g.win')}, g.id AS point_id "
+            f"FROM g JOIN n ON {_on_cells('g', 'n', near5)} WHERE n.level2_count - 1 < {near5.min_pts}"
         ),
         "lsh_params": (
             f"WITH {_events(3)}, {_windowed(ev)} SELECT {_start(ev)}, count(*) AS n, CAST({4 * p3.radius!r} AS DOUBLE) AS width, "

@@ -205,7 +205,7 @@ def level1_count_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def definite_outliers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = neighbors.definite_outliers(inp.shipped(spark, sf_dir, 5), inp.SHIPPED_5D, inp.SHIP_WINDOW)
+    rows = neighbors.definite_outliers(inp.shipped(spark, sf_dir, 5), inp.SHIPPED_NEAR_5D, inp.SHIP_WINDOW)
     return rows.select(_start_ms(inp.SHIP_WINDOW), "point_id")
 
 
@@ -225,6 +225,11 @@ def outliers_shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(exact.detect_outliers(points, inp.SHIPPED, inp.SHIP_WINDOW))
 
 
+def outliers_shipped_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = inp.shipped(spark, sf_dir, 10)
+    return _shown(exact.detect_outliers(points, inp.SHIPPED_10D, inp.SHIP_WINDOW))
+
+
 def outliers_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.detect_outliers(inp.embedded(spark, sf_dir), inp.EMBEDDED).select("point_id")
 
@@ -399,6 +404,7 @@ QUERIES: dict[str, Query] = {
     "outliers_exact": _exact(QueryMode.ALL),
     "outliers_exact_fine": _exact(QueryMode.ALL, inp.EVENT_FINE_WINDOW),
     "outliers_shipped": outliers_shipped,
+    "outliers_shipped_wide": outliers_shipped_wide,
     "outliers_embedded": outliers_embedded,
     "outliers_filtered": outliers_filtered,
     "mode_all": _exact(QueryMode.ALL),
