@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ from farpoint.llm.steps import bitmap_of, fresh, in_bitmap, min_links, shuffled,
 from farpoint.llm.words import Slice, grams, mix, slices
 
 
+MARKS = 4  # words of 64 parities of a set
+
+
 @dataclass(frozen=True)
 class JaccardParams:
     words: int = 5  # words of a shingle
@@ -76,6 +80,20 @@ def _class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) == 0, np.uint64(0), ids)
 
 
+def _parities(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Each set as ``64 * MARKS`` parities: of how many of its shingles fall on each bit. Two
+    sets differ in at least as many shingles as their parities differ in bits."""
+    width = 64 * MARKS
+    bit = (mix(sets ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(width)).astype(np.int64)
+    out = np.zeros((len(at) - 1, MARKS), np.uint64)
+    for a in range(0, len(out), 4096):
+        b = min(a + 4096, len(out))
+        row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+        odd = np.bincount(row * width + bit[at[a] : at[b]], minlength=(b - a) * width) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, width), axis=1, bitorder="little").view(np.uint64)
+    return list(out.T)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -89,31 +107,37 @@ def _body(text: Column) -> Column:
 
 
 def _signatures(texts: DataFrame, p: JaccardParams) -> DataFrame:
-    """Per text its class and size and a hash of the text itself; and how many texts hold
-    shingles of each bucket."""
+    """Per text its class, size and parities and a hash of the text itself; and how many texts
+    hold shingles of each bucket."""
+    marks = [f"m{i}" for i in range(MARKS)]
+    names = ["doc_id", "body", "cls", "n", *marks, "bucket", "texts"]
 
     def run(batches):
         counts = np.zeros(1 << p.bucket_bits, np.int64)
         for b in batches:
-            cls, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            cls, n, odd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in marks]
             for s in slices(b.column(1)):
                 sets, at = _sets(s, p.words)
                 cls.append(_class_ids(sets, at))
+                for c, v in zip(odd, _parities(sets, at), strict=True):
+                    c.append(v)
                 n.append(np.diff(at))
                 counts += np.bincount((sets >> np.uint64(64 - p.bucket_bits)).astype(np.int64), minlength=len(counts))
             m = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), _signed(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
-                names=["doc_id", "body", "cls", "n", "bucket", "texts"],
+                [b.column(0), b.column(2), _signed(np.concatenate(cls)), pa.array(np.concatenate(n)), *[_signed(np.concatenate(c)) for c in odd],
+                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
+                names=names,
             )
         (used,) = np.nonzero(counts)
         m = len(used)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(m, pa.int64())] * 4, pa.array(used.astype(np.int32)), pa.array(counts[used])],
-            names=["doc_id", "body", "cls", "n", "bucket", "texts"],
+            [*[pa.nulls(m, pa.int64())] * (4 + MARKS), pa.array(used.astype(np.int32)), pa.array(counts[used])], names=names,
         )
 
-    return texts.withColumn("body", _body(F.col("text"))).mapInArrow(run, "doc_id long, body long, cls long, n long, bucket int, texts long")
+    return texts.withColumn("body", _body(F.col("text"))).mapInArrow(
+        run, "doc_id long, body long, cls long, n long, " + "".join(f"{m} long, " for m in marks) + "bucket int, texts long"
+    )
 
 
 def _frequencies(signatures: DataFrame, p: JaccardParams) -> np.ndarray:
@@ -269,6 +293,9 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
     never looked at; the others share lists. Lists have a bounded length. Only pairs that pass
     the tests on sizes and places become rows.
 
+    Sets that link differ in few shingles, and so do their parities: most pairs of documents that
+    share a passage and no more are left out by them before there is a row.
+
     What the prefix that ends first shares with the other set lies in both prefixes, so the
     shared shingles and the ``rest`` of its set bound the overlap. This is at least as strict as
     sharing the smaller l, and stricter the nearer the sizes are.
@@ -278,7 +305,8 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
     dealt = rows.join(sizes, "token").join(own, ["token", "comp"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / p.chunk)))
     dealt = dealt.withColumn("alone", F.when(F.col("own_size") > p.listed_alone, F.col("comp")))
-    lists = dealt.groupBy("token", "alone", "part").agg(F.collect_list(F.struct("comp", *CLASS)).alias("m"))
+    marks = [f"m{i}" for i in range(MARKS)]
+    lists = dealt.groupBy("token", "alone", "part").agg(F.collect_list(F.struct("comp", *CLASS, *marks)).alias("m"))
     lists = lists.withColumn("list", F.struct(F.col("alone").isNull().alias("s"), F.coalesce("alone", F.lit(0)).alias("c"), "part"))
     right = lists.select("token", F.col("list").alias("list_b"), F.col("alone").alias("alone_b"), F.col("m").alias("m_b"))
     once = (F.col("list") < F.col("list_b")) | ((F.col("list") == F.col("list_b")) & F.col("alone").isNull())
@@ -288,7 +316,10 @@ def _cross_pairs(rows: DataFrame, p: JaccardParams) -> DataFrame:
         # what is left behind the shared place bounds the overlap
         bound = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) + F.least(x["pos"], y["pos"])
         apart = (x["comp"] != y["comp"]) & (~F.col("same_list") | (x["cls"] < y["cls"]))
-        return apart & _may_link(p, lambda c: x[c], lambda c: y[c]) & (bound * (100 + p.percent) >= (x["n"] + y["n"]) * p.percent)
+        both = x["n"] + y["n"]
+        differ = reduce(lambda a, b: a + b, [F.bit_count(x[m].bitwiseXOR(y[m])) for m in marks])
+        alike = (bound * (100 + p.percent) >= both * p.percent) & (differ * (100 + p.percent) <= both * (100 - p.percent))
+        return apart & _may_link(p, lambda c: x[c], lambda c: y[c]) & alike
 
     def rest_of(z: Column) -> Column:
         return F.ceil(z["n"] * p.percent / 100) - z["l"]
@@ -349,6 +380,9 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> Dat
         if cross <= p.pairs_per_row * n or cross > 0.9 * before:
             break
         before = cross
+    marks = [f"m{i}" for i in range(MARKS)]
+    odd = signatures.where("n > 0").groupBy("cls").agg(*[F.first(m).alias(m) for m in marks])
+    rows = written(rows.join(shuffled(odd), "cls"))
     found = written(_verified(texts, written(_cross_pairs(rows, p)), p))
     roots = min_links(found if links is None else links.unionAll(found))
     classes = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")

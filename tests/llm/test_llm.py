@@ -360,3 +360,19 @@ def test_joins_that_disagree_are_encoded_as_a_whole(monkeypatch):
     ids, at = enc.encode(s)
     assert wholes == [text]  # the one text with joins
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [whole(text), whole("one"), []]
+
+
+def test_parities_never_differ_more_than_the_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    one = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [one, one[7:], np.append(one[40:], rng.integers(0, 2**63, 30).astype(np.uint64)), one[:0], one[:1]]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    marks = np.array(jaccard._parities(np.concatenate(sets), at)).T
+    for a, x in zip(marks, sets):
+        for b, y in zip(marks, sets):
+            apart = len(np.setxor1d(x, y))
+            differ = sum(int(v).bit_count() for v in a ^ b)
+            assert differ <= apart and differ % 2 == apart % 2
+    assert not marks[3].any()
