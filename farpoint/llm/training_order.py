@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from farpoint.llm.words import mix, slices
 from farpoint.plans.tables import shared_folder
 
+READ_RECORDS = 1024  # records a reader fetches together
 END = 0xFF  # ends a text and fills the last sequence of a partition; never a byte of UTF-8
 
 
@@ -139,7 +141,7 @@ def materialise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ``END``. Sequence numbers follow the partitions of the input; slot = keyed permutation of
     the number. Shard ``i`` is the folder ``shard=i`` with one file of ``per_shard`` records of
     ``stride`` bytes (the last one shorter), record ``j`` at byte ``j * stride``, so a reader
-    that stopped goes on at any slot.
+    that stopped goes on at any slot. The manifest is written when all shards are.
 
     The index has one row per sequence: ``slot``, ``sequence``, ``first_doc`` (the text its
     first token is of), ``shard``, ``offset``. Null and empty texts are one ``END``; repeated
@@ -164,25 +166,48 @@ def materialise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         rows = rows.select("shard", "slot", F.col("tokens").cast("string").alias("value"))
         rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
         rows.select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    manifest = spark.createDataFrame([(total, p.length, p.per_shard, p.key, p.rounds)], _MANIFEST)
+    manifest.coalesce(1).write.json(f"{path}/_manifest")  # last: it says that the shards are whole
     index = _sequences(texts, p, firsts, order, False).withColumn("shard", shard)
     return index.withColumn("offset", (F.col("slot") % p.per_shard) * p.stride), path
 
 
-def read_from(spark: SparkSession, path: str, slot: int = 0, params: OrderParams | None = None):
-    """Records from a slot on, shard by shard: an iterator of (slot, tokens). Only the shard
-    being read is fetched."""
-    p = params or OrderParams()
-    shard = slot // p.per_shard
-    while True:
+_MANIFEST = "sequences long, length int, per_shard int, key string, rounds int"
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[int, OrderParams]:
+    """Number of sequences below ``path`` and the parameters they were written with."""
+    m = spark.read.schema(_MANIFEST).json(f"{path}/_manifest").first()
+    return m.sequences, OrderParams(length=m.length, per_shard=m.per_shard, key=m.key, rounds=m.rounds)
+
+
+def read_from(spark: SparkSession, path: str, slot: int = 0, params: OrderParams | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Records from a slot on, shard by shard: (slot, tokens) up to the last one.
+
+    Reading starts at the record's byte; nothing before it is fetched. The manifest says how
+    many records there are: a shard that is missing or not whole is an error, and so are
+    ``params`` other than those of the manifest.
+    """
+    total, p = read_manifest(spark, path)
+    if params is not None and params != p:
+        raise ValueError(f"{path} was written with {p}")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while slot < total:
+        shard, skip = divmod(slot, p.per_shard)
+        held = min(p.per_shard, total - shard * p.per_shard)
+        folder = path_of(f"{path}/shard={shard}")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = [f for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")] if store.exists(folder) else []
+        if len(files) != 1 or files[0].getLen() != held * p.stride:
+            raise ValueError(f"shard {shard} of {path} is not whole")
+        stream = store.open(files[0].getPath())
         try:
-            records = spark.sparkContext.binaryRecords(f"{path}/shard={shard}", p.stride)
-            found = records.zipWithIndex()
-            skip = slot - shard * p.per_shard
-            for record, i in found.filter(lambda x, skip=skip: x[1] >= skip).toLocalIterator():
-                yield shard * p.per_shard + i, np.frombuffer(record[: p.length], np.uint8)
-        except Exception as e:  # the shard after the last one
-            if "does not exist" in str(e):
-                return
-            raise
-        shard += 1
-        slot = shard * p.per_shard
+            stream.seek(skip * p.stride)
+            while skip < held:
+                data = bytes(stream.readNBytes(min(READ_RECORDS, held - skip) * p.stride))
+                for at in range(0, len(data), p.stride):
+                    yield shard * p.per_shard + skip, np.frombuffer(data, np.uint8, p.length, at)
+                    skip += 1
+        finally:
+            stream.close()
+        slot = (shard + 1) * p.per_shard

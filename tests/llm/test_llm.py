@@ -133,6 +133,27 @@ def test_training_order(spark, docs, empty):
         assert sorted(training_order.Order(size, "k").slots(range(size))) == list(range(size))
 
 
+def test_reading_shards(spark, docs, empty, tmp_path):
+    p = training_order.OrderParams(length=64, per_shard=100, rounds=5)
+    _, path = training_order.materialise(docs, path=str(tmp_path / "order"), params=p)
+    records = [(s, r.tobytes()) for s, r in training_order.read_from(spark, path)]
+    n = len(records)
+    assert n > 300 and training_order.read_manifest(spark, path) == (n, p)
+    for slot in (0, 1, 99, 100, 257, n - 1, n):
+        assert [(s, r.tobytes()) for s, r in training_order.read_from(spark, path, slot)] == records[slot:]
+    with pytest.raises(ValueError, match="was written with"):
+        next(training_order.read_from(spark, path, 0, training_order.OrderParams()))
+    (file,) = (tmp_path / "order" / "shard=1").glob("part-*")
+    file.write_bytes(file.read_bytes()[:-65])
+    with pytest.raises(ValueError, match="shard 1 .* is not whole"):
+        list(training_order.read_from(spark, path, 150))
+    (tmp_path / "order" / "shard=2").rename(tmp_path / "moved")
+    with pytest.raises(ValueError, match="shard 2 .* is not whole"):
+        list(training_order.read_from(spark, path, 200))
+    _, path = training_order.materialise(empty, params=p)
+    assert list(training_order.read_from(spark, path)) == []
+
+
 def test_extraction(spark):
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>"
