@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,28 @@ CHUNK_ROWS = 50_000  # rows of one key that a single task takes on
 SMALL_ROWS = 100_000  # rows of a table that may be broadcast
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def steps_dropped(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that ``written`` makes inside, once their results have been stored."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        drop_folders(spark, paths)
+
+
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that this library has written."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named in ``spark.checkpoint.dir``.
 
@@ -31,10 +56,12 @@ def written(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
     Cuts the lineage, survives the loss of executors and keeps a step that two later steps
-    read from being computed twice.
+    read from being computed twice. The table stays, unless ``steps_dropped`` encloses the call.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/farpoint-step-{uuid.uuid4().hex}"
+    for paths in _scopes.get():
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

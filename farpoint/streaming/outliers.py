@@ -3,7 +3,8 @@
 Each micro-batch is appended to a table of points partitioned by pane. When the watermark
 passes the end of windows, the batch plan runs on exactly their panes and its answer is
 appended. State is files in shared storage: it has no memory limit, a lost executor costs a
-task, and a repeated batch overwrites its own output.
+task, and a repeated batch overwrites its own output. Panes that no open window needs and the
+tables between the steps of a batch are dropped again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from farpoint.functions import grid, timing
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans.exact import detect_outliers
+from farpoint.plans.tables import drop_folders, steps_dropped
 
 PANE_FOLDERS = 1000  # up to so many panes are opened by name
 POINT_SCHEMA = "point_id bigint, us bigint, coords array<double>, pane bigint, batch bigint"
@@ -64,6 +66,16 @@ def _last_progress(spark: SparkSession, folders: StreamFolders, batch: int):
     return spark.read.schema(PROGRESS_SCHEMA).parquet(path).first()
 
 
+def _expire(spark: SparkSession, folders: StreamFolders, first: int) -> None:
+    """Drop the panes before the first that an open window needs. The caller passes what the
+    batch before has closed: a repeated batch still finds all panes of its windows."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folders.points)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+    panes = [n for n in names if n.startswith("pane=") and int(n.removeprefix("pane=")) < first]
+    drop_folders(spark, [f"{folders.points}/{n}" for n in panes])
+
+
 def _stored_points(spark: SparkSession, folders: StreamFolders, first: int, last: int) -> DataFrame:
     """Points of a run of panes. A short run is opened by folder, without listing the table."""
     paths = [folders.points]
@@ -84,6 +96,8 @@ def _on_batch(
         spark = batch_rows.sparkSession
         last = _last_progress(spark, folders, batch)
         closed = last["closed"] if last else None
+        if closed is not None:
+            _expire(spark, folders, (closed + 1) * spec.panes_per_slide)
         rows = batch_rows.select("point_id", timing.arrival_us(batch_rows, "arrival").alias("us"), "coords")
         # a late point still counts in the windows that are open
         late = F.lit(False) if closed is None else timing.last_window(F.col("us"), spec) <= closed
@@ -140,11 +154,12 @@ def _close(
         "point_id", F.timestamp_micros("us").alias("arrival"), "coords"
     )
     found = Observation()
-    outliers = detect_outliers(panes, params, spec, mode, only=windows)
-    outliers.observe(found, F.count("*").alias("n")).write.mode("overwrite").parquet(
-        f"{folders.outliers}/batch-{batch}"
-    )
-    return found.get["n"]
+    with steps_dropped(spark):
+        outliers = detect_outliers(panes, params, spec, mode, only=windows)
+        outliers.observe(found, F.count("*").alias("n")).write.mode("overwrite").parquet(
+            f"{folders.outliers}/batch-{batch}"
+        )
+        return found.get["n"]
 
 
 def stream_outliers(

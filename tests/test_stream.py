@@ -80,3 +80,22 @@ def test_points_within_the_delay_count_whatever_came_first(spark, tmp_path):
     for r in read_stream_outliers(spark, root).collect():
         per_point[r.point_id] = per_point.get(r.point_id, 0) + 1
     assert per_point == {0: 2, 1: 2, 2: 2}
+
+
+def test_files_of_a_stream_expire(spark, tmp_path):
+    """Twenty micro-batches: the panes and step tables that stay do not grow with them."""
+    rng = np.random.default_rng(12)
+    us = np.arange(400) * 1_000_000
+    x = rng.uniform(-8, 8, (400, 2))
+    source = _write_in_order(spark, tmp_path, x, us, np.array_split(np.arange(400), 20))
+    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    root = tmp_path / "state"
+    steps = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(steps))
+    stream_outliers(rows, PARAMS, SPEC, str(root), delay=timedelta(seconds=5), once=True).awaitTermination()
+    assert len(list(read_stream_progress(spark, str(root)).collect())) == 20
+    expected = {(w, i) for w, i in outliers(x, us, PARAMS, SPEC) if w * SPEC.slide_us + SPEC.size_us <= us.max() - 5_000_000}
+    assert found(read_stream_outliers(spark, str(root)), SPEC) == expected
+    # open windows reach 40 s and the delay back, panes are 20 s: of 20 panes these are left
+    assert len([n for n in os.listdir(root / "points") if n.startswith("pane=")]) <= 4
+    assert set(os.listdir(steps)) == before
