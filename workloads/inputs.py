@@ -43,6 +43,13 @@ def events(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     return points_from_columns(table(spark, sf_dir, "events"), "event_id", event_coords(dims), "ts")
 
 
+def scaled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in units in which the radius of the preset ``TAO`` tells them apart."""
+    value, clicks, clock = event_coords(3)
+    coords = [F.col(value) / F.lit(30.0), clicks / F.lit(30.0), clock / F.lit(6.0)]
+    return points_from_columns(table(spark, sf_dir, "events"), "event_id", coords, "ts")
+
+
 def shipped(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
     """Order lines, numbered along all their columns: no smaller key is unique."""
     lines = table(spark, sf_dir, "lineitem")

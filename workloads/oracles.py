@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 from farpoint.functions import hashing
-from farpoint.params import GridParams, LshParams, WindowSpec
+from farpoint.params import GridParams, LshParams, WindowSpec, preset
 from farpoint.streaming.state import tick_us
 from workloads import inputs as inp
 from workloads.queries import ONE_TABLE, PROBED, PROBED_TABLES, THREE_TABLES
@@ -22,6 +22,11 @@ def _events(dims: int) -> str:
     return f"p AS (SELECT event_id AS id, epoch_us(ts) AS us, {xs} FROM events)"
 
 
+def _scaled_events() -> str:
+    xs = ", ".join(f"({x}) / CAST({by!r} AS DOUBLE) AS x{i}" for i, (x, by) in enumerate(zip(EVENT_XS, (30.0, 30.0, 6.0))))
+    return f"p AS (SELECT event_id AS id, epoch_us(ts) AS us, {xs} FROM events)"
+
+
 def _shipped() -> str:
     order = (
         "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
@@ -357,6 +362,7 @@ def build() -> dict[str, str]:
     return {
         "outliers_exact": all_points,
         "outliers_exact_fine": _exact(_events(3), p3, fine),
+        "outliers_preset": _exact(_scaled_events(), preset("TAO"), ev),
         "outliers_shipped": _exact(_shipped(), inp.SHIPPED, inp.SHIP_WINDOW),
         "outliers_shipped_wide": _exact(_shipped(), inp.SHIPPED_10D, inp.SHIP_WINDOW),
         "outliers_embedded": _embedded(),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from farpoint.functions import grid
 from farpoint.functions.timing import arrival_us
 from farpoint.operators import accuracy, cells, neighbors, windows
-from farpoint.params import GridParams, LshParams, QueryMode, WindowSpec
+from farpoint.params import GridParams, LshParams, QueryMode, WindowSpec, preset
 from farpoint.plans import approximate, exact, probing
 from farpoint.plans.tables import shared_folder
 from farpoint.sources import points as src
@@ -220,6 +220,11 @@ def _exact(mode: QueryMode, spec: WindowSpec = inp.EVENT_WINDOW) -> Query:
     return run
 
 
+def outliers_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = inp.scaled_events(spark, sf_dir)
+    return _shown(exact.detect_outliers(points, preset("TAO"), inp.EVENT_WINDOW, staged=True))
+
+
 def outliers_shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = inp.shipped(spark, sf_dir)
     return _shown(exact.detect_outliers(points, inp.SHIPPED, inp.SHIP_WINDOW))
@@ -403,6 +408,7 @@ def text_stream_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "outliers_exact": _exact(QueryMode.ALL),
     "outliers_exact_fine": _exact(QueryMode.ALL, inp.EVENT_FINE_WINDOW),
+    "outliers_preset": outliers_preset,
     "outliers_shipped": outliers_shipped,
     "outliers_shipped_wide": outliers_shipped_wide,
     "outliers_embedded": outliers_embedded,
