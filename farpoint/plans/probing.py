@@ -117,9 +117,11 @@ def detect_probed(
     spec: WindowSpec | None = None,
     mode: QueryMode | str = QueryMode.ALL,
     lsh: LshParams = LshParams(probes=8),
+    only: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Points with fewer than ``min_pts`` candidates within the radius among the buckets they look
-    into: ``window_start, window_end, point_id``. The grid clears what it can first."""
+    into: ``window_start, window_end, point_id``. The grid clears what it can first. ``only``
+    limits the answer to the windows numbered from its first to its last value."""
     mode, k = QueryMode(mode), params.min_pts
     placed = _timed(points.where(finite(params.dims)), spec)
     cells = cell_counts(placed, params, spec)
@@ -127,6 +129,8 @@ def detect_probed(
         cells = neighbor_sums(cells, params).where(F.col("level1_count") - 1 < k)
     else:
         cells = cells.where(F.col("n") - 1 < k)
+    if only is not None:
+        cells = cells.where(F.col("win").between(*only))
     open_points = points_of_cells(placed, cells, params, spec, k + 1, keep=("us", "coords"))
     chosen = timing.mode_windows(F.col("us"), spec, mode)
     if chosen is not None:
@@ -135,6 +139,6 @@ def detect_probed(
     near = bucket_neighbors(open_points, points, params, spec, lsh, k, params.radius)
     enough = near.where(F.col("place") == k).select("win", "point_id")
     few = open_points.select("win", "point_id").join(enough, ["win", "point_id"], "left_anti")
-    lonely = lonely_by_nature(_timed(points, spec), Layout(params, spec), mode)
+    lonely = lonely_by_nature(_timed(points, spec), Layout(params, spec, only), mode)
     rows = (few if k > 0 else few.limit(0)).unionByName(lonely.select("win", "point_id"))
     return rows.select(*timing.window_bounds(F.col("win"), spec), "point_id")

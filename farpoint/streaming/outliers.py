@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from farpoint.functions import grid, timing
-from farpoint.params import GridParams, QueryMode, WindowSpec
+from farpoint.params import GridParams, LshParams, QueryMode, WindowSpec
 from farpoint.plans.exact import detect_outliers
+from farpoint.plans.probing import detect_probed
 from farpoint.plans.tables import drop_folders, steps_dropped
 
 PANE_FOLDERS = 1000  # up to so many panes are opened by name
@@ -89,7 +90,7 @@ def _stored_points(spark: SparkSession, folders: StreamFolders, first: int, last
 
 
 def _on_batch(
-    folders: StreamFolders, params: GridParams, spec: WindowSpec, mode: QueryMode, delay_us: int
+    folders: StreamFolders, params: GridParams, spec: WindowSpec, mode: QueryMode, delay_us: int, lsh: LshParams | None
 ):
     def run(batch_rows: DataFrame, batch: int) -> None:
         began = time.monotonic()
@@ -127,7 +128,7 @@ def _on_batch(
             else:
                 start = closed + 1
             if newly >= start:
-                n_outliers = _close(spark, folders, params, spec, mode, (start, newly), batch)
+                n_outliers = _close(spark, folders, params, spec, mode, lsh, (start, newly), batch)
                 closed = newly
             elif closed is None:
                 closed = newly  # only the watermark closes windows, not the first points seen
@@ -144,6 +145,7 @@ def _close(
     params: GridParams,
     spec: WindowSpec,
     mode: QueryMode,
+    lsh: LshParams | None,
     windows: tuple[int, int],
     batch: int,
 ) -> int:
@@ -155,7 +157,10 @@ def _close(
     )
     found = Observation()
     with steps_dropped(spark):
-        outliers = detect_outliers(panes, params, spec, mode, only=windows)
+        if lsh is None:
+            outliers = detect_outliers(panes, params, spec, mode, only=windows)
+        else:
+            outliers = detect_probed(panes, params, spec, mode, lsh, only=windows)
         outliers.observe(found, F.count("*").alias("n")).write.mode("overwrite").parquet(
             f"{folders.outliers}/batch-{batch}"
         )
@@ -171,8 +176,10 @@ def stream_outliers(
     delay: timedelta = timedelta(milliseconds=500),
     once: bool = False,
     every: str = "10 seconds",
+    lsh: LshParams | None = None,
 ) -> StreamingQuery:
-    """Start detection on a stream of canonical points.
+    """Start detection on a stream of canonical points: exact, or with ``lsh`` by multi-probe
+    hashing of each window.
 
     A window is answered when an arrival is seen that is ``delay`` past its end. ``once``
     works off what is there and stops. Read the answers with :func:`read_stream_outliers`.
@@ -180,7 +187,7 @@ def stream_outliers(
     folders = StreamFolders(root.rstrip("/"))
     delay_us = round(delay.total_seconds() * 1_000_000)
     writer = points.writeStream.option("checkpointLocation", folders.checkpoint).foreachBatch(
-        _on_batch(folders, params, spec, QueryMode(mode), delay_us)
+        _on_batch(folders, params, spec, QueryMode(mode), delay_us, lsh)
     )
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()

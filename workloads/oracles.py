@@ -297,14 +297,14 @@ def _probed(params: GridParams, lsh: LshParams, asked: str) -> str:
     return "WITH " + ", ".join([*parts, near])
 
 
-def _lsh_probed() -> str:
-    p, spec = inp.EVENTS_3D, inp.EVENT_WINDOW
+def _lsh_probed(p: GridParams, where: str = "TRUE") -> str:
+    spec = inp.EVENT_WINDOW
     asked = (
         f"a AS (SELECT g.win, g.id FROM g JOIN n ON {_on_cells('g', 'n', p)} WHERE n.level1_count - 1 < {p.min_pts})"
     )
     return (
         f"{_probed(p, PROBED, asked)} SELECT {_start(spec)}, {_end(spec)}, id AS point_id FROM (SELECT a.win, a.id FROM a LEFT JOIN "
-        f"near USING (win, id) GROUP BY a.win, a.id HAVING count(near.other) < {p.min_pts})"
+        f"near USING (win, id) GROUP BY a.win, a.id HAVING count(near.other) < {p.min_pts}) WHERE {where}"
     )
 
 
@@ -455,7 +455,8 @@ def build() -> dict[str, str]:
         "outliers_lsh_shared_candidates": _lsh_near(p2, THREE_TABLES, False, True),
         "outliers_lsh_local": _lsh_near(p2, THREE_TABLES, True, False),
         "outliers_lsh_local_candidates": _lsh_near(p2, THREE_TABLES, False, False),
-        "outliers_lsh_probed": _lsh_probed(),
+        "outliers_lsh_probed": _lsh_probed(p3),
+        "outliers_stream_probed": _lsh_probed(p2, closed),
         "knn_lsh": _knn_lsh(),
         "accuracy": _accuracy(),
         "outliers_stream": _exact(_events(2), p2, ev, closed),

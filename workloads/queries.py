@@ -336,6 +336,14 @@ def outliers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(streaming.read_stream_outliers(spark, root))
 
 
+def outliers_stream_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    streaming.stream_outliers(
+        _event_stream(spark, sf_dir), inp.EVENTS_2D, inp.EVENT_WINDOW, root, delay=inp.STREAM_DELAY, once=True, lsh=PROBED
+    ).awaitTermination()
+    return _shown(streaming.read_stream_outliers(spark, root))
+
+
 def outliers_stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = joined.stream_outliers_joined(_event_stream(spark, sf_dir), inp.EVENTS_2D, inp.EVENT_WINDOW, inp.STREAM_DELAY)
     return _shown(_run_to_end(stream))
@@ -461,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "knn_lsh": knn_lsh,
     "accuracy": accuracy_of_lsh,
     "outliers_stream": outliers_stream,
+    "outliers_stream_probed": outliers_stream_probed,
     "outliers_stream_joined": outliers_stream_joined,
     "cell_counts_stream": cell_counts_stream,
     "cell_running_count_stream": cell_running_count_stream,
