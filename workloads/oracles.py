@@ -347,7 +347,7 @@ def build() -> dict[str, str]:
         "l_quantity AS x0, l_extendedprice AS x1, l_discount AS x2"
     )
     slabs = f"b AS (SELECT win, c{p3.sort_dim} AS slab, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_points FROM c GROUP BY ALL)"
-    top = f"r AS (SELECT c.*, row_number() OVER {_slab_order(p3)} AS place FROM c), top AS (SELECT * FROM r WHERE place <= 100)"
+    top = f"r AS (SELECT c.*, row_number() OVER {_slab_order(p3)} AS place FROM c), top AS (SELECT * FROM r WHERE place <= {inp.SLAB_CELLS})"
     cap = f" AND abs(a.c{p3.sort_dim} - b.c{p3.sort_dim}) <= 1"
     n3 = f"{counts3}, {_reach_sums(p3, ev)}"
     n2 = f"{counts2}, {_reach_sums(p2, ev)}"

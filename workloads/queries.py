@@ -174,7 +174,7 @@ def level1_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level1_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = neighbors.capped_sums(_counts(spark, sf_dir, inp.EVENTS_3D), inp.EVENTS_3D)
+    sums = neighbors.capped_sums(_counts(spark, sf_dir, inp.EVENTS_3D), inp.EVENTS_3D, inp.SLAB_CELLS)
     return sums.select(_start_ms(inp.EVENT_WINDOW), _cell(), "n", "level1_count")
 
 
