@@ -347,7 +347,6 @@ def build() -> dict[str, str]:
         "l_quantity AS x0, l_extendedprice AS x1, l_discount AS x2"
     )
     slabs = f"b AS (SELECT win, c{p3.sort_dim} AS slab, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_points FROM c GROUP BY ALL)"
-    top = f"r AS (SELECT c.*, row_number() OVER {_slab_order(p3)} AS place FROM c), top AS (SELECT * FROM r WHERE place <= {inp.SLAB_CELLS})"
     cap = f" AND abs(a.c{p3.sort_dim} - b.c{p3.sort_dim}) <= 1"
     n3 = f"{counts3}, {_reach_sums(p3, ev)}"
     n2 = f"{counts2}, {_reach_sums(p2, ev)}"
@@ -419,7 +418,7 @@ def build() -> dict[str, str]:
             f"{strict} AS level_strict FROM t"
         ),
         "level1_count": f"{n3} SELECT {_start(ev)}, {cell}, n, level1_count FROM n",
-        "level1_capped": f"{counts3}, {top}, {_reach_sums(p3, ev, 'top', cap)} SELECT {_start(ev)}, {cell}, n, level1_count FROM n",
+        "level1_capped": f"{counts3}, {_reach_sums(p3, ev, 'c', cap)} SELECT {_start(ev)}, {cell}, n, level1_count FROM n",
         "level2_count": f"{n2} SELECT {_start(ev)}, {_cell(p2)}, n, level1_count, level2_count FROM n",
         "candidate_pairs": (
             f"{n2}, t AS (SELECT a.win, {_cell(p2, 'a.')}, {_cell(p2, 'b.', 'near')}, {_s2(p2)} AS s2, b.n FROM n a JOIN c b "
