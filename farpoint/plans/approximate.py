@@ -26,6 +26,7 @@ from farpoint.operators.neighbors import candidate_pairs, neighbor_sums
 from farpoint.operators.windows import assign_windows, window_sizes
 from farpoint.params import GridParams, LshParams, QueryMode, WindowSpec
 from farpoint.plans.exact import (
+    GRID_DIMS,
     SURE_NEIGHBOR_DIMS,
     Layout,
     finite,
@@ -34,6 +35,7 @@ from farpoint.plans.exact import (
     neighbor_bounds,
     open_partial_boxes,
     settle_points,
+    uncleared,
 )
 from farpoint.plans.tables import shuffled, spread_hot_keys, with_small, written
 
@@ -191,11 +193,15 @@ def detect_lsh(
     spec: WindowSpec | None = None,
     mode: QueryMode | str = QueryMode.ALL,
     lsh: LshParams = LshParams(),
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """One model over all points of the window: ``window_start, window_end, point_id``."""
+    """One model over all points of the window: ``window_start, window_end, point_id``. With
+    ``asked`` (``point_id``) only these are judged, against all points."""
     mode = QueryMode(mode)
     hashed = _timed(_prepared(points, params, lsh), spec)
     suspects = _with_k(_grid_suspects(hashed, params, spec, mode), window_sizes(hashed, spec), lsh)
+    if asked is not None:
+        suspects = suspects.join(shuffled(asked), "point_id", "left_semi")
     windowed = _windowed(hashed, spec, lsh)
     if lsh.verify:
         found = _few_verified(suspects, windowed, params)
@@ -298,7 +304,9 @@ def detect_filtered(
 ) -> DataFrame:
     """Exact detection with hashing in front: whatever verified hashing clears is an inlier,
     and only the flagged points are settled exactly. Pays off in many dimensions, where the
-    grid alone clears little."""
+    grid alone clears little. There, points that a bounded part of the data clears are not hashed
+    against the rest."""
     lsh = LshParams(**{**lsh.__dict__, "verify": True})
-    flagged = detect_lsh(points, params, spec, mode, lsh)
+    asked = uncleared(points, params, spec) if params.dims > GRID_DIMS else None
+    flagged = detect_lsh(points, params, spec, mode, lsh, asked)
     return settle_points(points, flagged, params, spec, QueryMode(mode))

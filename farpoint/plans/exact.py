@@ -30,12 +30,13 @@ from farpoint.functions import distance as dist
 from farpoint.operators.sliding import interval_sums, window_sums, windows_in_run
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans import pivots
-from farpoint.plans.tables import largest_keys, shuffled, spread_hot_keys, written
+from farpoint.plans.tables import SMALL_ROWS, largest_keys, shuffled, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
 PIVOTS = 3  # of the join blocks in many dimensions
 WIDE_LOT = 10_000  # rows of either side in one group of the wide comparison
+CLEAR_LOT = 4_000  # points that a point in many dimensions is compared with first
 SLACK = 1e-7  # keeps rounding in v/side from breaking a bound of the grid
 
 
@@ -328,6 +329,45 @@ def _wide_counts(q: DataFrame, e: DataFrame, flat: DataFrame, lay: Layout) -> Da
     return _per_window(per_pane, lay, ["least", "most"], ["us"])
 
 
+def _thinned(suspects: DataFrame, boxes: DataFrame, lay: Layout) -> DataFrame:
+    """Suspects in many dimensions that ``min_pts`` others of their own pane do not clear.
+
+    Points of a pane share their windows, so neighbours found there count in all of them, and
+    any part of the pane may clear. The points of each block are dealt to lots by a hash of the
+    coordinates; each lot is compared with itself. Nothing is copied, and the work grows with
+    the points; only those that are left go to the blocks around them.
+    """
+    here = ["pane", *lay.block_key]
+    points = boxes.select("pane", F.col("coords").alias("other"), "n", *lay.block_columns())
+    sizes = points.groupBy(*here).agg(F.ceil(F.count("*") / F.lit(CLEAR_LOT)).alias("lots"))
+    sizes = written(sizes.where(F.col("lots") > 1))
+    key = [*here, "lot"]
+
+    def dealt(rows: DataFrame, coords: str) -> DataFrame:
+        rows = rows.join(F.broadcast(sizes.orderBy(F.desc("lots")).limit(SMALL_ROWS)), here, "left")
+        return rows.withColumn("lot", F.pmod(F.xxhash64(coords), F.coalesce("lots", F.lit(1).cast("bigint")))).drop("lots")
+
+    suspects = suspects.select("point_id", "us", "coords", "wmin", "wmax")
+    asked = suspects.select("*", timing.pane_of(F.col("us"), lay.spec).alias("pane"), *lay.block_columns())
+    left = (
+        dealt(asked, "coords")
+        .groupBy(*key)
+        .cogroup(dealt(points, "other").groupBy(*key))
+        .applyInArrow(blocks.clearer(lay.grid.radius, lay.grid.min_pts), suspects.schema)
+    )
+    return written(left)
+
+
+def uncleared(points: DataFrame, params: GridParams, spec: WindowSpec | None = None) -> DataFrame:
+    """``point_id`` of the points that a bounded comparison within their pane does not clear, in
+    more than ``GRID_DIMS`` dimensions. All outliers of finite coordinates are among them."""
+    lay = layout_for(points, params, spec)
+    flat = _flat(_canonical(points, spec, False, params.dims), lay)
+    spans = [f(F.col("pane"), spec) for f in (timing.first_window_of_pane, timing.last_window_of_pane)]
+    everyone = flat.withColumns(dict(zip(("wmin", "wmax"), spans)))
+    return _thinned(everyone, written(fold_boxes(flat, lay)), lay).select("point_id")
+
+
 def neighbor_bounds(
     queries: DataFrame, boxes: DataFrame, flat: DataFrame, lay: Layout, match: Column | None = None
 ) -> DataFrame:
@@ -464,6 +504,8 @@ def verdict(
 ) -> DataFrame:
     """Settle the suspects exactly and return the outliers."""
     k = lay.grid.min_pts
+    if not lay.gridded:
+        suspects = _thinned(suspects, boxes, lay)
     bounds = neighbor_bounds(suspects, boxes, flat, lay)
     bounds = _asked(bounds.where(F.col("least") - 1 < k), lay, mode)
     # "least" counts too few only where "most" still allows an inlier
