@@ -6,8 +6,12 @@ Three steps in a row, each keyed by the window, all in append mode:
    points of a cell are neighbours; it is dropped here.
 2. The points of the other cells, joined back to the cells by window and cell. At most
    ``min_pts`` points of a cell go on, however dense the stream is elsewhere.
-3. These points join all points of the blocks around them by window and block (side of one
-   radius, up to three dimensions); pairs within the radius are counted per window and point.
+3. These points join all points of the blocks around them by window and block (whole cells, more
+   than one radius, up to three dimensions); pairs within the radius are counted per window and point.
+
+What goes into the state of the joins are *packs*: the points that a task has read of one pane and
+cell, or block, as one row. The points of a pack share their windows. A pack of a cell with more than
+``min_pts`` points has cleared them and does not go to step 2.
 
 No step keeps a pair, and none meets two points of a crowded cell. The state of a window is
 dropped when the watermark passes its end, which is also when its outliers come out. There is
@@ -16,12 +20,13 @@ nothing to read or write between micro-batches but Spark's own checkpoint.
 
 from __future__ import annotations
 
+import math
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.functions import grid
+from farpoint.functions import grid, packs, timing
 from farpoint.functions.distance import array_distance, distance
 from farpoint.operators.cells import assign_cells
 from farpoint.params import GridParams, WindowSpec
@@ -30,7 +35,16 @@ FLAT_DIMS = 8  # up to so many the distance is one flat expression
 
 
 def _block(params: GridParams) -> list[Column]:
-    return [grid.cell_index(F.col("coords")[i], params.radius).alias(f"b{k}") for k, i in enumerate(params.join_dims)]
+    cells = math.isqrt(4 * params.dims) + 1  # a radius is 2 * sqrt(dims) cells
+    return [timing.floor_div(F.col("cell")[i], cells).alias(f"b{k}") for k, i in enumerate(params.join_dims)]
+
+
+def _packed(placed: DataFrame, by: list[str], member: Column, out: str, crowd: int | None, delay: str) -> DataFrame:
+    """Rows of ``arrival``, ``by`` and the list ``out`` of the points of one pane."""
+    rows = placed.select("pane", *by, "arrival", member.alias(out), "clears")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"arrival {kinds['arrival']}", *[f"{c} {kinds[c]}" for c in by], f"{out} array<{kinds[out]}>"])
+    return rows.mapInArrow(packs.packer(by, out, crowd), schema).withWatermark("arrival", delay)
 
 
 def _distance(params: GridParams) -> Column:
@@ -53,23 +67,31 @@ def stream_outliers_joined(
     not all finite is near no other, and is no neighbour of itself either.
     """
     size, slide = (f"{us} microseconds" for us in (spec.size_us, spec.slide_us))
-    placed = assign_cells(points, params).withWatermark("arrival", f"{round(delay.total_seconds() * 1000)} milliseconds")
+    window = F.window("arrival", size, slide).alias("window")
+    late = f"{round(delay.total_seconds() * 1000)} milliseconds"
     finite = F.forall("coords", lambda v: F.abs(v) < F.lit(float("inf")))
-    placed = placed.select(F.window("arrival", size, slide).alias("window"), "point_id", "coords", "cell", finite.alias("finite"))
-    blocks = _block(params)
     # the cells of values beyond a double's grain hold far points, too: they clear nothing
     inner = F.forall("cell", lambda i: F.abs(i) < F.lit(grid.LAST_INDEX))
-    crowd = F.sum(F.when(F.col("finite") & inner, 1).otherwise(0))
-    sparse = placed.groupBy("window", "cell").agg(crowd.alias("n")).where(F.col("n") <= params.min_pts).drop("n")
-    asked = placed.join(sparse, ["window", "cell"])
+    placed = assign_cells(points, params).select("point_id", "arrival", "coords", "cell", finite.alias("finite"))
+    placed = placed.withColumn("clears", F.coalesce(F.col("finite") & inner, F.lit(False)))
+    crowd = F.sum(F.col("clears").cast("int"))
+    counted = placed.withWatermark("arrival", late).select(window, "cell", "clears").groupBy("window", "cell")
+    sparse = counted.agg(crowd.alias("n")).where(F.col("n") <= params.min_pts).drop("n")
+    blocks = _block(params)
     names = [f"b{i}" for i in range(len(blocks))]
+    # a point with no value in a coordinate is in no block
+    whole = placed.where(F.col("arrival").isNotNull() & F.forall("cell", lambda i: i.isNotNull()))
+    whole = whole.withColumn("pane", timing.pane_of(timing.arrival_us(points, "arrival"), spec))
+    own = F.struct("point_id", F.col("coords").alias("own"), "finite")
+    asked = _packed(whole, ["cell"], own, "asking", params.min_pts, late).select(window, "cell", "asking")
+    asked = asked.join(sparse, ["window", "cell"])
     steps = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in _around(len(names))])
-    asked = asked.select("window", "point_id", F.col("coords").alias("own"), *blocks, "finite", F.explode(steps).alias("step"))
-    asked = asked.select(
-        "window", "point_id", "own", "finite", *[(F.col(n) + F.col("step")[f"o{i}"]).alias(n) for i, n in enumerate(names)]
-    )
-    others = placed.select("window", F.col("point_id").alias("other_id"), "coords", *blocks)
-    pairs = asked.join(others, ["window", *names])
+    asked = asked.select("window", "asking", *blocks, F.explode(steps).alias("step"))
+    asked = asked.select("window", "asking", *[(F.col(n) + F.col("step")[f"o{i}"]).alias(n) for i, n in enumerate(names)])
+    near = F.struct(F.col("point_id").alias("other_id"), "coords")
+    others = _packed(whole.select("*", *blocks), names, near, "others", None, late).select(window, *names, "others")
+    pairs = asked.join(others, ["window", *names]).select("window", F.inline("asking"), "others")
+    pairs = pairs.select("window", "point_id", "own", "finite", F.inline("others"))
     same = F.col("point_id") == F.col("other_id")  # keeps points that have no other at all
     close = F.col("finite") & (_distance(params) <= F.lit(params.radius))
     kept = [F.any_value("own").alias("coords")] if keep_coords else []
