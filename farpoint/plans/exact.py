@@ -30,12 +30,13 @@ from farpoint.functions import distance as dist
 from farpoint.operators.sliding import interval_sums, window_sums, windows_in_run
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans import pivots
-from farpoint.plans.tables import SMALL_ROWS, largest_keys, shuffled, spread_hot_keys, written
+from farpoint.plans.tables import HOT_KEYS, SMALL_ROWS, largest_keys, shuffled, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
 PIVOTS = 3  # of the join blocks in many dimensions
 WIDE_LOT = 10_000  # rows of either side in one group of the wide comparison
+NEAR_LOT = 250_000  # rows of either side in one group of a count of all neighbours
 CLEAR_LOT = 4_000  # points that a point in many dimensions is compared with first
 SLACK = 1e-7  # keeps rounding in v/side from breaking a bound of the grid
 
@@ -329,6 +330,44 @@ def _wide_counts(q: DataFrame, e: DataFrame, flat: DataFrame, lay: Layout) -> Da
     return _per_window(per_pane, lay, ["least", "most"], ["us"])
 
 
+def _near_counts(queries: DataFrame, points: DataFrame, lay: Layout) -> DataFrame:
+    """Exact counts per query and window, the point itself included, for any number of queries.
+
+    A query stays in the block it is in; the points, copies of one folded, go to the blocks within
+    their reach, which are few, since a block is four radii wide. Lots of bounded size
+    meet in a task, where boxes within the radius are counted whole. No pair is a row.
+    """
+    stretch, reach = lay.stretch, lay.block
+    s = lay.spec.panes_per_slide if lay.spec else 1
+    names = dict(zip(lay.block_key, [F.col(f"s{i}") for i in lay.grid.join_dims]))
+    keys = ["stretch", *names]
+    q = queries.withColumns({"plo": F.col("wmin") * s, "phi": F.col("wmax") * s + (stretch - 1)})
+    q = q.withColumns({b: timing.floor_div(c, 4 * reach) for b, c in names.items()})
+    q = q.select("point_id", "wmin", "wmax", "plo", "phi", *lay.xs, *names,
+                 F.explode(F.sequence(timing.floor_div(F.col("plo"), stretch), timing.floor_div(F.col("phi"), stretch))).alias("stretch"))
+    e = points.groupBy("pane", *lay.xs).agg(F.count("*").alias("n"))
+    e = written(e).select("*", *lay.box_columns()).withColumn("stretch", timing.floor_div(F.col("pane"), stretch))
+    for b, c in names.items():
+        ends = [timing.floor_div(c + o, 4 * reach) for o in (-reach, reach)]
+        e = e.withColumn(b, F.explode(F.sequence(*ends)))
+    e = e.select("pane", "n", *lay.xs, *keys)
+
+    def dealt(left: DataFrame, right: DataFrame, on: list[str], row: list[str], name: str) -> tuple[DataFrame, DataFrame, list[str]]:
+        sizes = written(right.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > NEAR_LOT))
+        many = sizes.count() > HOT_KEYS  # more than the broadcast list takes
+        return spread_hot_keys(left, right, on, sizes, row, NEAR_LOT, name, every_key=many)
+
+    q, e, keys = dealt(q, e, keys, ["pane", *lay.xs], "_chunk")
+    e, q, keys = dealt(e, q, keys, ["point_id"], "_lot")
+    kind = queries.schema["point_id"].dataType.simpleString()
+    met = (
+        q.groupBy(*keys)
+        .cogroup(e.groupBy(*keys))
+        .applyInArrow(blocks.near_counter(lay.grid.radius, lay.dims), f"point_id {kind}, wmin bigint, wmax bigint, pane bigint, n bigint")
+    )
+    return _per_window(met, lay, ["n"], []).select("point_id", "win", F.col("n").alias("within"))
+
+
 def _thinned(suspects: DataFrame, boxes: DataFrame, lay: Layout) -> DataFrame:
     """Suspects in many dimensions that ``min_pts`` others of their own pane do not clear.
 
@@ -561,8 +600,8 @@ def neighbor_counts(
 ) -> DataFrame:
     """Exact number of other points within the radius, for every point in every window.
 
-    Whole boxes within the radius are counted without touching their points; only boxes cut
-    by the sphere are opened.
+    Whole boxes within the radius are counted without touching their points; only boxes that the
+    sphere may cut are opened, within the tasks.
     """
     lay = layout_for(points, params, spec)
     base = _canonical(points, spec, staged, params.dims)
@@ -573,11 +612,12 @@ def neighbor_counts(
             "wmax": timing.last_window_of_pane(F.col("pane"), spec),
         }
     ).drop("pane")
-    # each row is about to be copied to all blocks around it: share that out first
-    everyone = everyone.repartition("point_id")
-    boxes = written(fold_boxes(flat, lay))
-    bounds = neighbor_bounds(everyone, boxes, flat, lay)
-    counted = _settled(bounds, boxes, flat, lay, F.col("least") < F.col("most"))
+    if lay.gridded:
+        counted = _near_counts(everyone, flat, lay)
+    else:
+        # each row is about to be copied to all blocks around it: share that out first
+        bounds = neighbor_bounds(everyone.repartition("point_id"), written(fold_boxes(flat, lay)), flat, lay)
+        counted = bounds.select("point_id", "win", F.col("least").alias("within"))
     lonely = lonely_by_nature(base, lay, QueryMode.ALL).select(
         "point_id", "win", F.lit(1).cast("bigint").alias("within")
     )
