@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farpoint.llm.steps import written
 from farpoint.llm.words import NOT_WHITE, Slice, mix, slices
 
 
@@ -28,6 +29,10 @@ class BpeParams:
 # Probes of joins at white space: a tokenizer that passes never looks across it.
 _PROBES = ["a b", "it 's\tx", "x ́y", "1 2\n.", "Σ Σ", "é\r\nZ", "<|a|> b", ", ,", "a  b", "'ll 've"]
 
+# Between words that are encoded in one call, and kept apart by it.
+_MARK = b"\x01"
+_BETWEEN = b" \x01 "
+
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all runs, one after the other."""
@@ -52,7 +57,12 @@ class Encoder:
         self.shared_at = np.cumsum(self.shared_len) - self.shared_len
         self.splits = all(self.whole(t) == [i for w in t.split() for i in self.whole(w)] for t in _PROBES[:8])
         self.joins: dict[int, bool] = {}
-        self._forget()
+        self.keys = np.zeros(0, np.uint64)  # of the known pieces; where their ids are in the pool
+        self.at, self.len, self.seen = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self._order()
+        mark = self.whole(_MARK.decode())
+        self.mark = mark[0] if len(mark) == 1 else None
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [(self.tokenizer.id_to_token(i) or "").encode() + b" " for i in range(n)]
         self.names = np.frombuffer(b"".join(names), np.uint8)
@@ -60,46 +70,77 @@ class Encoder:
         self.name_at = np.cumsum(self.name_len) - self.name_len
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.at: list[int] = []
-        self.len: list[int] = []
+        """Pieces that several slices asked for stay, at most half of what a worker keeps."""
+        stay = np.flatnonzero(self.seen > 1)
+        most = self.p.cached_words // 2
+        if len(stay) > most:
+            stay = stay[np.argpartition(-self.seen[stay], most)[:most]]
+        self.pool = self.pool[ragged(self.at[stay], self.len[stay])]
+        self.used = len(self.pool)
+        self.keys, self.len, self.seen = self.keys[stay], self.len[stay], self.seen[stay] // 2
+        self.at = np.cumsum(self.len) - self.len
+        self._order()
+
+    def _order(self) -> None:
+        self.order = np.argsort(self.keys, kind="stable")
+        self.sorted = self.keys[self.order]
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for those that are not known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+    def _apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words, in one call: a mark that is a token of its own stands between them."""
+        text = _BETWEEN.join(words)
+        if self.mark is not None and text.count(_MARK) == len(words) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words) - 1:  # none comes from a word
+                return ids[ids != self.mark], np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        return self._one_by_one([w.decode("utf-8", "replace") for w in words])
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Encode words that are not known; their hashes ascend."""
+        found = [self._apart(words[i : i + 2048]) for i in range(0, len(words), 2048)]
+        if not found:
+            return
+        sizes = np.concatenate([n for _, n in found])
         end = self.used + int(sizes.sum())
         if end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), end - self.used), np.int32)])
-        self.pool[self.used : end] = np.fromiter(chain.from_iterable(found), np.int32, end - self.used)
-        self.slot.update(zip(hashes, range(len(self.at), len(self.at) + len(found)), strict=True))
-        self.at += (self.used + np.cumsum(sizes) - sizes).tolist()
-        self.len += sizes.tolist()
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), end - len(self.pool)), np.int32)])
+        self.pool[self.used : end] = np.concatenate([ids for ids, _ in found])
+        place = np.searchsorted(self.sorted, hashes)
+        self.order = np.insert(self.order, place, len(self.keys) + np.arange(len(hashes)))
+        self.sorted = np.insert(self.sorted, place, hashes)
+        self.keys = np.concatenate([self.keys, hashes])
+        self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
+        self.len = np.concatenate([self.len, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
         self.used = end
 
-    def known(self, word: int) -> list[int]:
-        i = self.slot[word]
-        return self.pool[self.at[i] : self.at[i] + self.len[i]].tolist()
-
     def pieces(self, s: Slice, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and length in the pool of the ids of each piece; new ones are encoded."""
-        if len(self.slot) > self.p.cached_words:
+        if len(self.keys) > self.p.cached_words:
             self._forget()
         known, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = known.tolist()
-        new = [(k, int(i)) for k, i in zip(keys, first, strict=True) if k not in self.slot]
-        raw = s.data.tobytes()
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self._learn([k for k, _ in part], [raw[starts[j] : ends[j]].decode("utf-8", "replace") for _, j in part])
-        slots = [self.slot[k] for k in keys]
-        at = np.array([self.at[i] for i in slots], np.int64)
-        length = np.array([self.len[i] for i in slots], np.int64)
-        return at[back], length[back]
+        new = np.flatnonzero(self.slots(known) < 0)
+        raw, at = s.data.tobytes(), first[new]
+        self._learn(known[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        slots = self.slots(known)
+        self.seen[slots] += 1
+        return self.at[slots][back], self.len[slots][back]
 
     def _hold(self, s: Slice, cut: Chunks, places: np.ndarray, keys: np.ndarray) -> None:
         """Find out of each join whether its two words encoded together give what they give one
@@ -107,24 +148,28 @@ class Encoder:
         if len(self.joins) > self.p.cached_words:
             self.joins.clear()
         keys, first = np.unique(keys, return_index=True)
-        new = [(k, int(i)) for k, i in zip(keys.tolist(), places[first], strict=True) if k not in self.joins]
-        if not new:
+        new = np.flatnonzero([k not in self.joins for k in keys.tolist()])
+        if not len(new):
             return
-        raw = s.data.tobytes()
-
-        def text(i: int) -> str:
-            return raw[cut.starts[i] : cut.ends[i]].decode("utf-8", "replace")
-
+        raw, right = s.data.tobytes(), places[first[new]]
+        both = np.stack([right - 1, right], 1).ravel()
+        words = [raw[a:b] for a, b in zip(cut.starts[both].tolist(), cut.ends[both].tolist(), strict=True)]
         # words inside shared chunks have not been encoded by themselves yet
-        lone = {int(cut.word_hashes[i]): i for _, w in new for i in (w - 1, w) if int(cut.word_hashes[i]) not in self.slot}
-        if lone:
-            self._learn(list(lone), [text(i) for i in lone.values()])
+        lone, at = np.unique(cut.word_hashes[both], return_index=True)
+        unknown = self.slots(lone) < 0
+        self._learn(lone[unknown], [words[i] for i in at[unknown].tolist()])
+        slots = self.slots(cut.word_hashes[both])
+        text = [f"{a.decode('utf-8', 'replace')} {b.decode('utf-8', 'replace')}" for a, b in zip(words[::2], words[1::2], strict=True)]
         for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            both = self.tokenizer.encode_batch_fast([f"{text(w - 1)} {text(w)}" for _, w in part], add_special_tokens=False)
-            for (key, w), e in zip(part, both, strict=True):
-                left, right = (int(cut.word_hashes[i]) for i in (w - 1, w))
-                self.joins[key] = e.ids == self.known(left) + self.known(right)
+            ids, sizes = self._one_by_one(text[a : a + 4096])
+            own = slots[2 * a : 2 * (a + len(sizes))]
+            alike = self.len[own].reshape(-1, 2).sum(1) == sizes
+            rows = np.flatnonzero(alike)
+            here = ids[ragged((np.cumsum(sizes) - sizes)[rows], sizes[rows])]
+            own = own.reshape(-1, 2)[rows].ravel()
+            apart = here != self.pool[ragged(self.at[own], self.len[own])]
+            alike[np.repeat(rows, sizes[rows])[apart]] = False
+            self.joins.update(zip(keys[new[a : a + 4096]].tolist(), alike.tolist(), strict=True))
 
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice, and where those of each text begin."""
@@ -204,8 +249,8 @@ class Chunks:
         first = np.flatnonzero(begins)
         sizes = np.diff(first)
         if len(sizes) and sizes.max() > p.max_words:  # cut long ones evenly
-            more = [np.arange(a, b, p.max_words) for a, b in zip(first[:-1], first[1:], strict=True)]
-            first = np.append(np.concatenate(more), n)
+            parts = -(-sizes // p.max_words)
+            first = np.append(np.repeat(first[:-1], parts) + ragged(np.zeros_like(parts), parts) * p.max_words, n)
             sizes = np.diff(first)
         self.first, self.sizes = (first, sizes) if n else (np.zeros(1, np.int64), np.zeros(0, np.int64))
         if n:
@@ -225,28 +270,35 @@ def _encoder(p: BpeParams, shared, key) -> Encoder:
 
 
 def _chunk_counts(texts: DataFrame, p: BpeParams) -> DataFrame:
-    """Chunks found more than once: hash, how often, words."""
+    """Chunks found more than once: hash, how often, words, and the hash of a text that holds it."""
 
     def run(batches):
         for b in batches:
+            body = b.column(1).to_numpy()
             for s in slices(b.column(0)):
                 cut = Chunks(s, p)
                 h, i, n = np.unique(cut.hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(cut.sizes[i])], names=["chunk", "n", "words"])
+                row = np.searchsorted(cut.text_first, cut.first[i], "right") - 1
+                out = [h.view(np.int64), n, cut.sizes[i], body[s.first + row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["chunk", "n", "words", "body"])
 
-    counts = texts.mapInArrow(run, "chunk long, n long, words long")
-    return counts.groupBy("chunk").agg(F.sum("n").alias("n"), F.max("words").alias("words")).where("n > 1 and words > 1")
+    counts = texts.mapInArrow(run, "chunk long, n long, words long, body long")
+    counts = counts.groupBy("chunk").agg(F.sum("n").alias("n"), F.max("words").alias("words"), F.min("body").alias("body"))
+    return counts.where("n > 1 and words > 1")
 
 
 def _shared(texts: DataFrame, p: BpeParams) -> list[tuple[int, bytes]]:
     """The chunks whose reuse saves most, each encoded once. At most ``shared_chunks`` chunks
     of at most ``max_words`` words reach the driver; the others are put together from words
-    where they stand, with the same ids."""
-    best = _chunk_counts(texts, p).orderBy(F.desc(F.col("n") * F.col("words")), "chunk").limit(p.shared_chunks)
+    where they stand, with the same ids. The chunks are taken from one text each, so the other
+    texts are cut once here."""
+    texts = texts.select("text", F.xxhash64("text").alias("body"))
+    best = written(_chunk_counts(texts, p).orderBy(F.desc(F.col("n") * F.col("words")), "chunk").limit(p.shared_chunks))
     wanted = np.sort(best.select("chunk").toPandas().chunk.to_numpy(np.int64).view(np.uint64))
     if not len(wanted):
         return []
     known = texts.sparkSession.sparkContext.broadcast(wanted)
+    holders = texts.join(F.broadcast(best.select("body").distinct()), "body", "left_semi").select("text")
 
     def find(batches):
         seen: set[int] = set()
@@ -267,7 +319,7 @@ def _shared(texts: DataFrame, p: BpeParams) -> list[tuple[int, bytes]]:
             ids = [np.array(own.whole(t), np.int32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["chunk", "ids"])
 
-    found = texts.mapInArrow(find, "chunk long, text string").groupBy("chunk").agg(F.min("text").alias("text"))
+    found = holders.mapInArrow(find, "chunk long, text string").groupBy("chunk").agg(F.min("text").alias("text"))
     found = found.mapInArrow(encode, "chunk long, ids binary").toPandas()
     pairs = zip(found.chunk.to_numpy(np.int64).view(np.uint64).tolist(), found.ids, strict=True)
     return sorted((h, bytes(ids)) for h, ids in pairs)
