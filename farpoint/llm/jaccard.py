@@ -63,13 +63,14 @@ def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
             whole.append(mix((own * (places | np.uint64(1))).sum(dtype=np.uint64).reshape(1)))
         runs = np.insert(runs, at[short], np.concatenate(whole))
         counts[short] = 1
-    row = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((runs, row))
-    runs = runs[order]
-    new = np.ones(len(runs), bool)
-    new[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
-    sizes = np.bincount(row[new], minlength=len(counts))
-    return runs[new], np.concatenate([[0], np.cumsum(sizes)])
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        runs[a:b].sort()
+    new = np.ones(len(runs) + 1, bool)
+    new[1:-1] = runs[1:] != runs[:-1]
+    new[at] = True
+    kept = np.concatenate([[0], np.cumsum(new[:-1])])
+    return runs[new[:-1]], kept[at]
 
 
 def _class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -150,8 +151,8 @@ def _frequencies(signatures: DataFrame, p: JaccardParams) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, frequency: np.ndarray, p: JaccardParams) -> DataFrame:
-    """The prefix shingles of every text: shingle, class, its size, its l and the place; and
-    where the prefix ends in the order of shingles."""
+    """The prefix shingles of every class: shingle, class, its size, its l and the place; and
+    where the prefix ends in the order of shingles. A class has them once for each task that reads it."""
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
 
     def chosen(sets: np.ndarray) -> tuple[np.ndarray, int]:
@@ -172,12 +173,16 @@ def _prefixes(texts: DataFrame, frequency: np.ndarray, p: JaccardParams) -> Data
         return sets[at][: n - need + best + 1], best + 1
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             for s in slices(b.column(1)):
                 sets, at = _sets(s, p.words)
                 ids = _class_ids(sets, at)
                 heads, n, l, keys, ends = [], [], [], [], []
-                for i in np.flatnonzero(np.diff(at)):
+                _, once = np.unique(ids, return_index=True)
+                once = [i for i in once.tolist() if at[i] < at[i + 1] and int(ids[i]) not in seen]
+                seen.update(ids[once].tolist())
+                for i in once:
                     head, matches = chosen(sets[at[i] : at[i + 1]])
                     heads.append(head)
                     last = shared.value[int(head[-1] >> np.uint64(64 - p.bucket_bits))]
@@ -197,24 +202,31 @@ def _prefixes(texts: DataFrame, frequency: np.ndarray, p: JaccardParams) -> Data
     return texts.mapInArrow(run, "token long, cls long, n int, l int, pos int, end_cost double, end_key long")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame:
-    """The pairs of classes that link, their sets taken from the texts again."""
+def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame:
+    """The pairs of classes that link, their sets taken from the texts again: from one text of
+    each class, once for each task that reads it."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(needed, "cls"))
+    bodies = members.groupBy("cls").agg(F.min("body").alias("body")).join(shuffled(needed), "cls", "left_semi")
+    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(bodies, "body"))
 
     def sets_of(batches):
+        seen: set[int] = set()
         for b in batches:
-            for s in slices(b.column(1)):
+            body = b.column(1).to_numpy()
+            own, first = np.unique(body, return_index=True)
+            asked = np.flatnonzero(in_bitmap(bitmap.value, own.view(np.uint64)))
+            asked = [i for i in asked.tolist() if int(own[i]) not in seen]
+            seen.update(own[asked].tolist())
+            for s in slices(b.column(0).take(pa.array(np.sort(first[asked])))):
                 sets, at = _sets(s, p.words)
-                ids = _class_ids(sets, at)
-                _, once = np.unique(ids, return_index=True)
-                hit = [i for i in once if ids[i] and in_bitmap(bitmap.value, ids[i : i + 1])[0]]
+                ids, hit = np.unique(_class_ids(sets, at), return_index=True)
+                ids, hit = ids[ids != 0], hit[ids != 0]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(ids[hit]), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary())],
+                    [_signed(ids), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary())],
                     names=["cls", "members"],
                 )
 
-    found = texts.mapInArrow(sets_of, "cls long, members binary")
+    found = texts.select("text", _body(F.col("text")).alias("body")).mapInArrow(sets_of, "cls long, members binary")
     found = found.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("members").alias("members"))
     found = written(found)
     left = found.select(F.col("cls").alias("a"), F.col("members").alias("left"))
@@ -365,15 +377,15 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> Dat
     members = signatures.where("n is not null").select("doc_id", "body", "cls", "n")
     frequency = _frequencies(signatures, p)
     rows = _prefixes(texts, frequency, p)
-    # the first pass carries the shingle alone: most are in one text, and go here
-    seen = rows.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
-    rows = rows.join(seen.select("token"), "token", "left_semi")
+    # most shingles are in one class and go here: one shuffle, the texts are not read twice
+    by_token = Window.partitionBy("token")
+    rows = rows.withColumn("shared", F.min("cls").over(by_token) < F.max("cls").over(by_token)).where("shared")
     rows = written(rows.groupBy("token", "cls").agg(*[F.first(c).alias(c) for c in CLASS if c not in ("cls", "most")]))
     rows = _useful(rows, p).withColumn("comp", F.col("cls"))
 
     links, before = None, float("inf")
     for seed in range(p.hub_rounds):  # at least one at every size
-        found = written(_verified(texts, written(_best_hubs(rows, seed, p)), p))
+        found = written(_verified(texts, members, written(_best_hubs(rows, seed, p)), p))
         links = found if links is None else links.unionAll(found)
         rows = _with_components(rows, min_links(links), p)
         n, cross = _cross_count(rows)
@@ -383,7 +395,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, p: JaccardParams) -> Dat
     marks = [f"m{i}" for i in range(MARKS)]
     odd = signatures.where("n > 0").groupBy("cls").agg(*[F.first(m).alias(m) for m in marks])
     rows = written(rows.join(shuffled(odd), "cls"))
-    found = written(_verified(texts, written(_cross_pairs(rows, p)), p))
+    found = written(_verified(texts, members, written(_cross_pairs(rows, p)), p))
     roots = min_links(found if links is None else links.unionAll(found))
     classes = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     return classes.withColumn("root", F.coalesce("root", "cls"))

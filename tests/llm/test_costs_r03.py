@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from farpoint.llm import bpe
+from farpoint.llm import bpe, jaccard
 from farpoint.llm.words import slices
 
 
@@ -75,3 +75,27 @@ def test_shared_chunks_name_a_text_that_holds_them(spark):
     assert {r.text for r in keyed.where(F.col("body") == chunk.body).collect()} == {texts[0]}
     ((_, ids),) = bpe._shared(df, p)
     assert ids == np.array(bpe.Encoder(p, []).whole(texts[0]), np.int32).tobytes()
+
+
+def test_sets_are_built_of_few_texts(spark, monkeypatch):
+    """op7: prefixes were taken from every text twice, and every text's set was built again for each verification."""
+    copies = ["one two three four five six seven eight nine ten eleven twelve"] * 3
+    near = [copies[0] + " thirteen"]
+    alone = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(200)]
+    rows = list(enumerate([*copies, *near, *alone, None, ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {i: (8, 0) if i < 3 else (9, 0) if i == 3 else (4, i) if i < 204 else (0, i) for i, _ in rows}
+
+    texts = jaccard._texts(df, "doc_id", "text")
+    members = jaccard._signatures(texts, jaccard.JaccardParams()).where("n is not null").select("doc_id", "body", "cls", "n")
+    classes = {r.doc_id: r.cls for r in members.collect()}
+    pairs = spark.createDataFrame([(classes[0], classes[3])], "a long, b long")
+    stored, inner = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda d: stored.append(d) or inner(d))
+    assert [tuple(r) for r in jaccard._verified(texts, members, pairs, jaccard.JaccardParams()).collect()] == [(classes[0], classes[3])]
+    assert {r.cls for r in stored[0].collect()} == {classes[0], classes[3]}
+
+    prefixes = jaccard._prefixes(texts, np.ones(1 << 18), jaccard.JaccardParams())
+    of_copies = prefixes.where(F.col("cls") == classes[0])
+    assert of_copies.count() == of_copies.select("token").distinct().count() > 0
