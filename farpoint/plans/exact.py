@@ -30,7 +30,7 @@ from farpoint.functions import distance as dist
 from farpoint.operators.sliding import interval_sums, window_sums, windows_in_run
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans import pivots
-from farpoint.plans.tables import HOT_KEYS, SMALL_ROWS, largest_keys, shuffled, spread_hot_keys, written
+from farpoint.plans.tables import SMALL_ROWS, dealt_in_lots, largest_keys, shuffled, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
@@ -352,13 +352,13 @@ def _near_counts(queries: DataFrame, points: DataFrame, lay: Layout) -> DataFram
         e = e.withColumn(b, F.explode(F.sequence(*ends)))
     e = e.select("pane", "n", *lay.xs, *keys)
 
-    def dealt(left: DataFrame, right: DataFrame, on: list[str], row: list[str], name: str) -> tuple[DataFrame, DataFrame, list[str]]:
-        sizes = written(right.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > NEAR_LOT))
-        many = sizes.count() > HOT_KEYS  # more than the broadcast list takes
-        return spread_hot_keys(left, right, on, sizes, row, NEAR_LOT, name, every_key=many)
-
-    q, e, keys = dealt(q, e, keys, ["pane", *lay.xs], "_chunk")
-    e, q, keys = dealt(e, q, keys, ["point_id"], "_lot")
+    # lots hold whole small places, so they are as dense as the block; only a place with more rows than
+    # a lot is dealt by its rows
+    place = [grid.cell_index(F.col(x), lay.grid.radius / 2) for x in lay.xs]
+    q, e, keys = dealt_in_lots(q, e, keys, place, NEAR_LOT, "_place")
+    q, e, keys = dealt_in_lots(q, e, keys, ["pane", *lay.xs], 2 * NEAR_LOT, "_chunk")
+    e, q, keys = dealt_in_lots(e, q, keys, place, NEAR_LOT, "_asked_place")
+    e, q, keys = dealt_in_lots(e, q, keys, ["point_id"], 2 * NEAR_LOT, "_lot")
     kind = queries.schema["point_id"].dataType.simpleString()
     met = (
         q.groupBy(*keys)
