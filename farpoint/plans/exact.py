@@ -30,7 +30,7 @@ from farpoint.functions import distance as dist
 from farpoint.operators.sliding import interval_sums, window_sums, windows_in_run
 from farpoint.params import GridParams, QueryMode, WindowSpec
 from farpoint.plans import pivots
-from farpoint.plans.tables import SMALL_ROWS, dealt_in_lots, largest_keys, shuffled, spread_hot_keys, written
+from farpoint.plans.tables import SMALL_ROWS, dealt_in_lots, largest_keys, of_few_keys, shuffled, spread_hot_keys, written
 
 GRID_DIMS = 8  # up to here boxes are grid cells; beyond, a box is one distinct point
 SURE_NEIGHBOR_DIMS = 3  # up to here the sure neighbour cells are few enough to add up
@@ -306,18 +306,15 @@ def _block_sizes(rows: DataFrame, lay: Layout) -> DataFrame:
     )
 
 
-def _wide_counts(q: DataFrame, e: DataFrame, flat: DataFrame, lay: Layout) -> DataFrame:
+def _wide_counts(q: DataFrame, e: DataFrame, lay: Layout) -> DataFrame:
     """Neighbour counts in many dimensions: blocks of queries against blocks of points.
 
     Both sides of every block are dealt to lots of bounded size, so Spark decides where work
     runs and each task only multiplies out one lot of queries with one lot of points.
     """
     keys = ["stretch", *lay.block_key]
-    q, e, keys = spread_hot_keys(
-        q, e, keys, _block_sizes(flat, lay), ["pane", "other"], WIDE_LOT, every_key=True
-    )
-    asked = q.groupBy(*keys).agg(F.count("*").alias("n"))
-    e, q, keys = spread_hot_keys(e, q, keys, asked, ["point_id"], WIDE_LOT, "_lot", every_key=True)
+    q, e, keys = dealt_in_lots(q, e, keys, ["pane", "other"], WIDE_LOT, "_chunk")
+    e, q, keys = dealt_in_lots(e, q, keys, ["point_id"], WIDE_LOT, "_lot")
     met = (
         q.select("point_id", "us", "wmin", "wmax", "plo", "phi", "coords", *keys)
         .groupBy(*keys)
@@ -368,6 +365,41 @@ def _near_counts(queries: DataFrame, points: DataFrame, lay: Layout) -> DataFram
     return _per_window(met, lay, ["n"], []).select("point_id", "win", F.col("n").alias("within"))
 
 
+def _lots(rows: DataFrame, here: list[str]) -> DataFrame:
+    """How many lots of about ``CLEAR_LOT`` rows each place of more rows is dealt to."""
+    sizes = rows.groupBy(*here).agg(F.ceil(F.count("*") / F.lit(CLEAR_LOT)).alias("lots"))
+    return written(sizes.where(F.col("lots") > 1))
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, here: list[str], row: list[str]) -> DataFrame:
+    rows = rows.join(F.broadcast(sizes.orderBy(F.desc("lots")).limit(SMALL_ROWS)), here, "left")
+    return rows.withColumn("lot", F.pmod(F.xxhash64(*row), F.coalesce("lots", F.lit(1).cast("bigint")))).drop("lots")
+
+
+def _left_in_lots(flat: DataFrame, lay: Layout) -> DataFrame:
+    """The points in many dimensions that a lot of their own pane and block does not clear.
+
+    Points of a pane share their windows, so neighbours found there count in all of them, and any part of
+    the pane may clear. All points go through one shuffle, and only what is left through those after it.
+    """
+    here = ["pane", *lay.block_key]
+    names = ["point_id", "us", "coords", "pane"]
+    points = flat.select(*names, *lay.block_columns())
+    points = _dealt(points, _lots(points, here), here, names[:3])
+    left = points.groupBy(*here, "lot").applyInArrow(
+        blocks.own_clearer(lay.grid.radius, lay.grid.min_pts, names), flat.select(*names).schema
+    )
+    return written(left)
+
+
+def _around(flat: DataFrame, left: DataFrame, lay: Layout) -> DataFrame:
+    """The points that counts of those ``left`` can depend on, or more."""
+    keys = ["stretch", *lay.block_key]
+    spans = [f(F.col("pane"), lay.spec) for f in (timing.first_window_of_pane, timing.last_window_of_pane)]
+    near = _keyed_queries(left.withColumns(dict(zip(("wmin", "wmax"), spans))), lay)
+    return of_few_keys(_keyed_boxes(flat, lay), near, keys).select(*flat.columns)
+
+
 def _thinned(suspects: DataFrame, boxes: DataFrame, lay: Layout) -> DataFrame:
     """Suspects in many dimensions that ``min_pts`` others of their own pane do not clear.
 
@@ -378,20 +410,14 @@ def _thinned(suspects: DataFrame, boxes: DataFrame, lay: Layout) -> DataFrame:
     """
     here = ["pane", *lay.block_key]
     points = boxes.select("pane", F.col("coords").alias("other"), "n", *lay.block_columns())
-    sizes = points.groupBy(*here).agg(F.ceil(F.count("*") / F.lit(CLEAR_LOT)).alias("lots"))
-    sizes = written(sizes.where(F.col("lots") > 1))
+    sizes = _lots(points, here)
     key = [*here, "lot"]
-
-    def dealt(rows: DataFrame, coords: str) -> DataFrame:
-        rows = rows.join(F.broadcast(sizes.orderBy(F.desc("lots")).limit(SMALL_ROWS)), here, "left")
-        return rows.withColumn("lot", F.pmod(F.xxhash64(coords), F.coalesce("lots", F.lit(1).cast("bigint")))).drop("lots")
-
     suspects = suspects.select("point_id", "us", "coords", "wmin", "wmax")
     asked = suspects.select("*", timing.pane_of(F.col("us"), lay.spec).alias("pane"), *lay.block_columns())
     left = (
-        dealt(asked, "coords")
+        _dealt(asked, sizes, here, ["coords"])
         .groupBy(*key)
-        .cogroup(dealt(points, "other").groupBy(*key))
+        .cogroup(_dealt(points, sizes, here, ["other"]).groupBy(*key))
         .applyInArrow(blocks.clearer(lay.grid.radius, lay.grid.min_pts), suspects.schema)
     )
     return written(left)
@@ -425,7 +451,7 @@ def neighbor_bounds(
     else:
         e = _keyed_boxes(boxes, lay).withColumnRenamed("coords", "other")
         if match is None:
-            return _wide_counts(q, e, flat, lay)
+            return _wide_counts(q, e, lay)
         reach = dist.array_distance("coords", "other") <= r
         within = F.lit(True)
         keep = ["us"]
@@ -528,9 +554,15 @@ def detect_outliers(
     mode = QueryMode(mode)
     lay = layout_for(points, params, spec, only)
     base = _canonical(points, spec, staged, params.dims)
-    flat = _flat(base, lay)
-    boxes = written(fold_boxes(flat, lay))
-    return verdict(base, flat, boxes, _suspects(flat, boxes, lay, mode), lay, mode)
+    flat = asked = _flat(base, lay)
+    if not lay.gridded:
+        asked = _left_in_lots(flat, lay)
+        flat = _around(flat, asked, lay)
+    boxes = counted = written(fold_boxes(flat, lay))
+    if not lay.gridded:  # no other cells are asked for
+        own = asked.select(*lay.cell_columns())
+        counted = of_few_keys(boxes.select("*", *lay.cell_columns()), own, lay.cell_key).select(*boxes.columns)
+    return verdict(base, flat, boxes, _suspects(asked, counted, lay, mode), lay, mode, thinned=True)
 
 
 def verdict(
@@ -540,10 +572,12 @@ def verdict(
     suspects: DataFrame,
     lay: Layout,
     mode: QueryMode,
+    thinned: bool = False,
 ) -> DataFrame:
-    """Settle the suspects exactly and return the outliers."""
+    """Settle the suspects exactly and return the outliers. In many dimensions a bounded comparison
+    comes first, unless they are ``thinned``."""
     k = lay.grid.min_pts
-    if not lay.gridded:
+    if not (lay.gridded or thinned):
         suspects = _thinned(suspects, boxes, lay)
     bounds = neighbor_bounds(suspects, boxes, flat, lay)
     bounds = _asked(bounds.where(F.col("least") - 1 < k), lay, mode)

@@ -19,6 +19,7 @@ from farpoint.functions import distance as dist
 from farpoint.functions import grid
 
 SAMPLE_POINTS = 512  # rows that pivots are chosen from
+HASH_PARTS = 256  # one of them is looked into first
 #: Blocks are wider than the radius by so much, far more than distances are rounded by.
 MARGIN = 1e-3
 
@@ -29,7 +30,12 @@ def choose_pivots(points: DataFrame, count: int, sample: int = SAMPLE_POINTS) ->
     The sample is the rows with the smallest hash of their coordinates, so the choice does not
     depend on the order of the rows. Only the sample reaches the driver.
     """
-    rows = points.select("coords").distinct().orderBy(F.xxhash64("coords"), "coords").limit(sample).collect()
+    coords = points.select("coords")
+    # the smallest hashes of all are those of a part of the range, if it has enough: no shuffle of all points
+    for some in (coords.where(F.xxhash64("coords") < -(1 << 63) + (1 << 64) // HASH_PARTS), coords):
+        rows = some.distinct().orderBy(F.xxhash64("coords"), "coords").limit(sample).collect()
+        if len(rows) == sample:
+            break
     if not rows:
         return ()
     x = np.array([r.coords for r in rows])
